@@ -97,14 +97,21 @@ def hot_keys(df: DataFrame, on: list[str], share: float = 1e-3, at_least: int =
 
 
 def salted_join(
-    big: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", salts: int = 64, at_least: int = 100_000
+    big: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    salts: int = 64,
+    at_least: int = 100_000,
+    hot: list[tuple] | None = None,
 ) -> DataFrame:
     """Join a table with possible hot keys to a lookup table, spreading only the hot keys.
 
     Rows of a hot key are split over ``salts`` buckets and the matching lookup rows are repeated that
-    many times; all other rows keep bucket 0, so nothing is repeated for them.
+    many times; all other rows keep bucket 0, so nothing is repeated for them. ``hot`` may be given by
+    callers that join the same keys again and again.
     """
-    hot = hot_keys(big, on, at_least=at_least)
+    hot = hot_keys(big, on, at_least=at_least) if hot is None else hot
     if not hot:
         return big.join(lookup, on, how)
     spark = big.sparkSession
