@@ -28,25 +28,31 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, for array expressions used several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def with_bigrams(tokens: Column, cap: int = 256) -> Column:
     """Tokens followed by the joined neighbours, first ``cap`` entries (the cap is the feature)."""
-    pairs = F.when(
-        F.size(tokens) > 1,
-        F.zip_with(
-            F.slice(tokens, F.lit(1), F.size(tokens) - 1),
-            F.slice(tokens, F.lit(2), F.size(tokens) - 1),
-            lambda a, b: F.concat(a, F.lit("_"), b),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.slice(F.concat(tokens, pairs), 1, cap)
+
+    def extend(t: Column) -> Column:
+        heads = F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0)))
+        tails = F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0)))
+        return F.slice(F.concat(t, F.zip_with(heads, tails, lambda a, b: F.concat(a, F.lit("_"), b))), 1, cap)
+
+    return bind(tokens, extend)
 
 
 def thinned_tokens(tokens: Column, key: Column, seed: int, drop: float) -> Column:
     """Drop tokens by a hash draw on (key, position); a fully dropped list keeps everything."""
     from auditloom.functions.hashing import unit_draw
 
-    kept = F.filter(tokens, lambda t, i: unit_draw(key, i, seed) >= drop)
-    return F.when(F.size(kept) > 0, kept).otherwise(tokens)
+    def thin(t: Column) -> Column:
+        kept = F.filter(t, lambda x, i: unit_draw(key, i, seed) >= drop)
+        return bind(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(t))
+
+    return bind(tokens, thin)
 
 
 def redact_events(text: Column, word: str = "REDACTED") -> Column:
@@ -72,7 +78,7 @@ def basename(path: Column) -> Column:
 def process_name(props: Column) -> Column:
     """Process name from 'cmdLine,tgid,path', from a path, or the text itself."""
     parts = F.split(props, ",")
-    from_path = basename(F.trim(parts[2]))
+    from_path = basename(F.trim(F.get(parts, F.lit(2))))
     other = F.when(props.contains("/"), basename(props)).otherwise(F.trim(props))
     return F.when(props.isNull() | (props == ""), "").when(F.size(parts) >= 3, from_path).otherwise(other)
 
@@ -113,7 +119,7 @@ def port_class(port: Column) -> Column:
 def is_private_ip(ip: Column) -> Column:
     """RFC 1918 and loopback by address arithmetic."""
     text = F.trim(ip)
-    octet = [F.split(text, r"\.")[i].try_cast("int") for i in range(4)]
+    octet = [F.get(F.split(text, r"\."), F.lit(i)).try_cast("int") for i in range(4)]
     valid = text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     inside = (
         (octet[0] == 10)

@@ -73,20 +73,18 @@ def contains_join(names: DataFrame, name: str, labels: DataFrame, label: str) ->
     size = F.coalesce(*[F.when(F.length(label) >= s, F.lit(s)) for s in reversed(_GRAM_SIZES)])
     keyed = keyed.withColumn("_gram", F.col(label).substr(F.lit(1), size))
     distinct_names = names.select(name).distinct().filter(F.length(name) > 0)
-    grams = [
-        F.when(
-            F.length(name) >= s,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(name) - (s - 1), F.lit(1))),
-                lambda i, s=s: F.col(name).substr(i, F.lit(s)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for s in _GRAM_SIZES
-    ]
+    grams = [_substrings(name, s) for s in _GRAM_SIZES]
     offered = distinct_names.withColumn("_gram", F.explode(F.array_distinct(F.concat(*grams))))
     return offered.join(keyed, "_gram").filter(F.col(name).contains(F.col(label))).select(name, label)
 
 
+def _substrings(name: str, size: int) -> Column:
+    """All substrings of one size; empty for shorter texts."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name) - (size - 1), F.lit(1)))
+    cut_out = F.transform(starts, lambda i: F.col(name).substr(i, F.lit(size)))
+    return F.when(F.length(name) >= size, cut_out).otherwise(F.array().cast("array<string>"))
+
+
 def label_substring(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``label`` = 1 when any label text occurs inside the node name."""
     text = labels.select(F.col(labels.columns[0]).alias("_label"))
