@@ -62,7 +62,8 @@ def hamming(a, b) -> Column:
 
 def unit(a) -> Column:
     """L2-normalised vector; a zero vector stays zero."""
-    return F.transform(_c(a), lambda x: x / (norm(a) + EPS))
+    length = F.array(norm(a) + EPS)  # evaluated once per row
+    return F.get(F.transform(length, lambda n: F.transform(_c(a), lambda x: x / n)), F.lit(0))
 
 
 def zeros(dim: int) -> Column:

@@ -340,7 +340,7 @@ def score_paths(paths: DataFrame, edges: DataFrame, shapes: DataFrame, m: int, b
     scored = bridge.join(shapes, "path_text", "left")
     rarity = 1.0 / F.greatest(F.coalesce("freq", F.lit(1)), F.lit(1))
     scored = scored.withColumn("rarity", rarity).withColumn("score", 0.5 * F.col("bridge") + 0.5 * F.col("rarity"))
-    return top_per_group(scored.drop("freq"), by, [F.desc("score"), F.col("path_text")], m)
+    return top_per_group(scored.drop("freq"), by, [F.desc(F.round("score", 9)), F.col("path_text")], m)
 
 
 # ---- communities --------------------------------------------------------------------------------
