@@ -217,18 +217,14 @@ def gr8_components(spark, sf):
 
 
 @query(
-    "gr8_big_component",
-    """WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'd' || (o_orderkey % 40000) AS b FROM orders WHERE o_orderkey % 40000 >= 0)
-       SELECT count(*) AS n_nodes FROM (SELECT a FROM e UNION SELECT b FROM e)""",
+    "gr8_star_components",
+    """SELECT 'c' || o_custkey AS component, 1 + count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1""",
 )
-def gr8_big_component(spark, sf):
-    """Nodes of the customer-order graph summed over its components."""
+def gr8_star_components(spark, sf):
+    """Customer-order graph as one graph: every component is a star around its customer."""
     o = v.table(spark, sf, "orders")
-    e = o.select(
-        F.lit(1).alias("snapshot_id"), F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("d"), F.col("o_orderkey") % 40000).alias("dst")
-    ).distinct()
-    sizes = graph.components(e).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.sum("n").alias("n_nodes"))
+    e = o.select(F.lit(1).alias("snapshot_id"), F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
+    return graph.components(e).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
 ANC = """anc AS (SELECT DISTINCT e.snapshot_id, n.name AS node, e.src AS ancestor FROM nodes n JOIN edges e
@@ -279,7 +275,7 @@ def gr11_resource_weights(spark, sf):
 @query(
     "gr12_process_weights",
     v.with_ctes(
-        v.GRAPH,
+        v.DAY_GRAPH,
         ADJ,
         """pe AS (SELECT DISTINCT e.snapshot_id, e.src, e.dst FROM edges e
              JOIN nodes a ON a.snapshot_id = e.snapshot_id AND a.name = e.src AND a.type = 'SUBJECT_PROCESS'
@@ -299,14 +295,14 @@ def gr11_resource_weights(spark, sf):
     ),
 )
 def gr12_process_weights(spark, sf):
-    w = graph.process_weights(v.nodes(spark, sf), v.edges(spark, sf))
+    w = graph.process_weights(v.daily_nodes(spark, sf), v.daily_edges(spark, sf))
     return w.select("snapshot_id", "src", "dst", F.coalesce("loop", F.lit(0)).alias("loop"), F.round("weight", 6).alias("weight"))
 
 
 @query(
     "gr13_simple_paths",
     v.with_ctes(
-        v.GRAPH,
+        v.DAY_GRAPH,
         ADJ,
         """pr AS (SELECT DISTINCT e.snapshot_id, e.src AS a, e.dst AS b FROM edges e WHERE e.dst LIKE 'u%' AND e.src <> e.dst)""",
         """SELECT p.snapshot_id, p.a, p.b, p.a || '>' || p.b AS path FROM pr p
@@ -319,7 +315,7 @@ def gr12_process_weights(spark, sf):
     ),
 )
 def gr13_simple_paths(spark, sf):
-    e = v.edges(spark, sf)
+    e = v.daily_edges(spark, sf)
     pairs = e.filter(F.col("dst").startswith("u") & (F.col("src") != F.col("dst"))).select(
         "snapshot_id", F.col("src").alias("a"), F.col("dst").alias("b")
     )

@@ -206,3 +206,25 @@ VEC = """vec AS (
 def case_sql(expr: str, mapping: dict, default: str = "NULL") -> str:
     arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
     return f"(CASE {expr} {arms} ELSE {default} END)"
+
+
+DAY_US = 24 * HOUR_US
+DAY_GRAPH = GRAPH.replace("3600000000", str(DAY_US))
+
+
+def daily(spark: SparkSession, sf: str) -> DataFrame:
+    from auditloom.operators.snapshots import tumbling
+
+    return tumbling(audit_events(spark, sf), DAY_US)
+
+
+def daily_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    from auditloom.operators.snapshots import node_table
+
+    return node_table(daily(spark, sf), entities(spark, sf), labelled_entities(spark, sf))
+
+
+def daily_edges(spark: SparkSession, sf: str) -> DataFrame:
+    from auditloom.operators.snapshots import edge_table
+
+    return edge_table(daily(spark, sf))

@@ -48,11 +48,12 @@ def read_documents(spark: SparkSession, path) -> DataFrame:
     return out.filter((F.col("tech_id") != "") & (F.coalesce("body", F.lit("")) != ""))
 
 
-def read_triples(spark: SparkSession, path) -> DataFrame:
-    """``tech_id, triples`` from one JSON object of lists; techniques without triples are skipped."""
+def read_triples(spark: SparkSession, path, whole: bool = True) -> DataFrame:
+    """``tech_id, triples`` from JSON objects of lists, one object per file or (``whole`` off) per line;
+    techniques without triples are skipped."""
     triple = T.StructType([T.StructField(c, T.StringType()) for c in ("subject", "verb", "object")])
-    whole = spark.read.option("wholetext", "true").text(path)
-    parsed = whole.select(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(triple))).alias("m"))
+    text = spark.read.option("wholetext", str(whole).lower()).text(path)
+    parsed = text.select(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(triple))).alias("m"))
     rows = parsed.select(F.explode("m").alias("tech_id", "triples"))
     return rows.filter(F.size("triples") > 0)
 
