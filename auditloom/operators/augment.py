@@ -289,7 +289,7 @@ def pack_egos(egos: DataFrame, nodes: DataFrame, inside: DataFrame, by: list[str
     """One row per ego with its nodes and edges nested; egos are size-limited by construction."""
     facts = nodes.select(*by, F.col("name").alias("node"), "type", "prop", "frequency", "label")
     rows = egos.join(facts, [*by, "node"])
-    fields = F.struct(F.col("node").alias("name"), "type", "prop", "frequency", "label", "hop")
+    fields = F.struct("hop", F.col("node").alias("name"), "type", "prop", "frequency", "label")
     packed = rows.groupBy(*by, "center").agg(F.sort_array(F.collect_list(fields)).alias("nodes"))
     links = inside.groupBy(*by, "center").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "actions_str"))).alias("edges"))
     return packed.join(links, [*by, "center"], "left")
@@ -337,6 +337,19 @@ def adaptive_size(n_attack: Column, cap: int) -> Column:
     return F.greatest(F.lit(5), F.least(n_attack * 2, F.lit(cap)))
 
 
+def adapt_anchor(pairs: DataFrame, cap: int, least: int = 5) -> DataFrame:
+    """Shrink the benign ego of each pair to the size that suits the attack ego.
+
+    Nested nodes are in (hop, name) order, so the first n nodes are the ego of size n. Anchors with fewer
+    than ``least`` nodes are left out.
+    """
+    n_attack = F.size(F.filter("a_nodes", lambda n: n["label"] == 1))
+    kept = pairs.filter(F.size("b_nodes") >= least).withColumn("b_nodes", F.slice("b_nodes", F.lit(1), adaptive_size(n_attack, cap)))
+    names = kept.withColumn("_names", F.transform("b_nodes", lambda n: n["name"]))
+    inside = lambda e: F.array_contains("_names", e["src"]) & F.array_contains("_names", e["dst"])
+    return names.withColumn("b_edges", F.filter("b_edges", inside)).drop("_names")
+
+
 def first_hard_negative(candidates: DataFrame, by: list[str], order: list[Column], least_attack: int = 2) -> DataFrame:
     """First candidate per group with at least ``least_attack`` attack nodes."""
     return top_per_group(candidates.filter(F.col("n_attack") >= least_attack), by, order, 1).drop("rank")

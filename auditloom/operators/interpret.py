@@ -6,10 +6,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from auditloom.functions import fixed_values as V
 from auditloom.functions import text as T
 from auditloom.operators.ranking import salted_join, top_per_group
+from auditloom.operators.similarity import score_pairs, similar_pairs
+from auditloom.session import cut
 
 UNKNOWN = "UNKNOWN"
 
@@ -113,13 +116,19 @@ def operational_triples(triples: DataFrame) -> DataFrame:
 
 
 # ---- matching -------------------------------------------------------------------------------------
-def hybrid(main: DataFrame, aux: DataFrame, weight: float) -> DataFrame:
-    """(1 - weight) * main + weight * aux per (query, technique); a missing score counts as 0."""
-    joined = main.select("a", "b", F.col("sim").alias("_m")).join(
-        aux.select("a", "b", F.col("sim").alias("_x")), ["a", "b"], "full"
-    )
-    sim = (1 - weight) * F.coalesce("_m", F.lit(0.0)) + weight * F.coalesce("_x", F.lit(0.0))
-    return joined.select("a", "b", sim.alias("sim"))
+def hybrid(queries: DataFrame, main: DataFrame, aux: DataFrame, aux_queries: DataFrame, weight: float, floor: float):
+    """(1 - weight) * main + weight * aux cosine of all pairs whose mixture reaches the floor.
+
+    A mixture can only reach the floor when one of its parts does, so the candidates are the pairs found in
+    either library; both parts are then scored in full. A technique missing in one library counts as 0 there.
+    """
+    found = similar_pairs(queries, main, floor).unionByName(similar_pairs(aux_queries, aux, floor))
+    pairs = cut(found.select("a", "b").distinct())
+    first = score_pairs(queries, main, pairs).withColumnRenamed("sim", "_m")
+    second = score_pairs(aux_queries, aux, pairs).withColumnRenamed("sim", "_x")
+    sim = (1 - weight) * F.col("_m") + weight * F.col("_x")
+    joined = first.join(second, ["a", "b"])
+    return joined.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= floor - 1e-9)
 
 
 def best_codes(queries: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
@@ -167,7 +176,7 @@ def expected_rank(scores: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 # ---- sequence alignment -----------------------------------------------------------------------------
-LCS_TYPE = "struct<length:int,mask:array<boolean>>"
+LCS_TYPE = StructType([StructField("length", IntegerType()), StructField("mask", ArrayType(BooleanType()))])
 
 
 def _lcs(a: list, b: list) -> tuple[int, list[bool]]:

@@ -69,6 +69,19 @@ def _scored(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
     return joined.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= F.lit(min_sim - 1e-9))
 
 
+def score_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cosine of given pairs ``a, b``; 0 when a vector is missing or nothing is shared."""
+    ua, ub = normalised(left), normalised(right)
+    a = ua.groupBy(F.col("id").alias("a")).agg(F.collect_list(F.struct("feature", "weight")).alias("_va"))
+    b = ub.groupBy(F.col("id").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("_mb"))
+    joined = pairs.select("a", "b").distinct().join(a, "a", "left").join(b, "b", "left")
+    sim = F.aggregate(
+        "_va", F.lit(0.0),
+        lambda acc, e: acc + e["weight"] * F.coalesce(F.try_element_at("_mb", e["feature"]), F.lit(0.0)),
+    )
+    return joined.select("a", "b", F.coalesce(sim, F.lit(0.0)).alias("sim"))
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
     """All pairs of ids with cosine of at least ``min_sim`` (> 0)."""
     a, b, pairs = _signature_pairs(left, right, min_sim)

@@ -102,13 +102,13 @@ nk AS (SELECT n.snapshot_id, n.name, s.l FROM nodes n JOIN side s USING (snapsho
     v.with_ctes(
         v.GRAPH,
         SIDE,
-        f"""at AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY {H('snapshot_id', 'name', '3')}, name) AS pos,
+        f"""atk AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY {H('snapshot_id', 'name', '3')}, name) AS pos,
               count(*) OVER (PARTITION BY snapshot_id) AS n FROM nk WHERE l = 1),
             pl AS (SELECT snapshot_id AS ps, name AS pn, row_number() OVER (ORDER BY {H('snapshot_id', 'name', '3')}, snapshot_id, name) - 1 AS idx
               FROM nk WHERE l = 0),
             pc AS (SELECT count(*) AS c FROM pl),
             pk AS (SELECT a.snapshot_id, a.name, CASE WHEN pos <= greatest(1, floor(n * 0.3)) THEN 1 ELSE 0 END AS replaced,
-              {H('a.snapshot_id', 'a.name', '4')} % c AS idx FROM at a, pc)""",
+              {H('a.snapshot_id', 'a.name', '4')} % c AS idx FROM atk a, pc)""",
         g.NV,
         f"""d AS (SELECT k.snapshot_id, k.name, k.replaced, nv.i, nv.x FROM pk k JOIN nv ON k.replaced = 0 AND nv.snapshot_id = k.snapshot_id
               AND nv.name = k.name
@@ -259,7 +259,7 @@ def mined_pairs(spark, sf, k=3):
     b = benign.select(F.col("ego_id").alias("a"), F.col("nodes").alias("b_nodes"), F.col("edges").alias("b_edges"))
     a = attack.select(F.col("ego_id").alias("b"), F.col("nodes").alias("a_nodes"), F.col("edges").alias("a_edges"))
     pairs = similar.join(b, "a").join(a, "b").withColumn("pair_id", F.concat_ws("~", "a", "b"))
-    return similar, cut(pairs)
+    return similar, cut(augment.adapt_anchor(pairs, 16, least=3))
 
 
 @query("au8_aligned_regions")
@@ -296,8 +296,7 @@ def au10_hard_negatives(spark, sf):
     _, chosen, nodes, edges = mutated(spark, sf)
     n = nodes.join(chosen.select("pair_id"), "pair_id").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("replaced").alias("n_replaced"))
     e = edges.join(chosen.select("pair_id"), "pair_id").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_edges"))
-    size = augment.adaptive_size(F.col("n_attack"), 32).alias("anchor_size")
-    return chosen.join(n, "pair_id").join(e, "pair_id", "left").select("a", "pair_id", "n_attack", "n_nodes", "n_replaced", "n_edges", size)
+    return chosen.join(n, "pair_id").join(e, "pair_id", "left").select("a", "pair_id", "n_attack", "n_nodes", "n_replaced", "n_edges")
 
 
 @query("au11_snapshot_fallback")
@@ -502,9 +501,9 @@ def au16_quality_report(spark, sf):
 @query("au17_strategy_presets")
 def au17_strategy_presets(spark, sf):
     """Edges and non-zero components left by each strategy on all attack snapshots."""
-    benign, attack = sides(spark, sf)
-    marks = v.nodes(spark, sf).groupBy("snapshot_id").agg(F.max("label").alias("_l")).filter("_l = 1")
-    edges = v.edges(spark, sf).join(marks, "snapshot_id", "left_semi")
+    benign, attack = [cut(t) for t in sides(spark, sf)]
+    marks = attack.select("snapshot_id").distinct()
+    edges = cut(v.edges(spark, sf).join(marks, "snapshot_id", "left_semi"))
     rows = []
     for strategy in augment.PRESETS:
         vec, kept = augment.apply_preset(strategy, attack, edges, benign, 13)
@@ -551,7 +550,18 @@ def au19_pool_sample(spark, sf):
     return augment.pool_sample(pool, KEY, 300, 2)
 
 
-@query("snk4_case_export")
+@query(
+    "snk4_case_export",
+    v.with_ctes(
+        v.GRAPH,
+        g.ADJ,
+        g.ego_sql(16, "SELECT snapshot_id, name AS center FROM nodes WHERE label = 1"),
+        g.EGO_EDGES,
+        """SELECT n.snapshot_id, n.center, n.n_nodes, coalesce(e.n_edges, 0) AS n_edges FROM (
+             SELECT snapshot_id, center, count(*) AS n_nodes FROM ego GROUP BY 1, 2) n LEFT JOIN (
+             SELECT snapshot_id, center, count(*) AS n_edges FROM ego_e GROUP BY 1, 2) e USING (snapshot_id, center)""",
+    ),
+)
 def snk4_case_export(spark, sf):
     """Cases with their ego nodes and edges nested, written and read back."""
     from auditloom.session import scratch_path
