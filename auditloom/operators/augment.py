@@ -304,7 +304,9 @@ def aligned_regions(pairs: DataFrame, max_region: int = 16, max_seeds: int = 10,
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=REGION_SCHEMA.split()[::2])
 
     filled = pairs.withColumns({c: F.coalesce(c, F.expr("array()").cast(pairs.schema[c].dataType)) for c in ("b_edges", "a_edges")})
-    return filled.select("pair_id", "b_nodes", "b_edges", "a_nodes", "a_edges").mapInPandas(run, REGION_SCHEMA)
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
+    slim = filled.select("pair_id", "b_nodes", "b_edges", "a_nodes", "a_edges")
+    return slim.repartition(tasks).mapInPandas(run, REGION_SCHEMA)
 
 
 def replace_nodes(b_nodes: DataFrame, a_nodes: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -212,35 +212,71 @@ def lcs_mask(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"length": [r[0] for r in rows], "mask": [r[1] for r in rows]})
 
 
+def _lcs_length(a: list, places: dict, size: int) -> int:
+    """Length only, with one machine-integer step per item of ``a``: the bits of ``row`` that turned zero
+    mark the ends of matched prefixes of the other sequence, whose item positions are in ``places``."""
+    full = (1 << size) - 1
+    row = full
+    for item in a:
+        hit = row & places.get(item, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return size - row.bit_count()
+
+
+@F.pandas_udf(IntegerType())
+def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    seen: dict = {}
+    out = []
+    for x, y in zip(a, b):
+        other = tuple(y)
+        if other not in seen:
+            places: dict = {}
+            for i, item in enumerate(other):
+                places[item] = places.get(item, 0) | (1 << i)
+            seen[other] = places
+        out.append(_lcs_length(x, seen[other], len(other)))
+    return pd.Series(out, dtype="int32")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Enough tasks for a step that costs processor time rather than bytes."""
+    conf = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(max(int(conf), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _clean_steps(steps: str) -> Column:
     return F.filter(F.transform(steps, lambda s: F.upper(F.trim(s))), lambda s: s != "")
 
 
 def aligned(sequences: DataFrame, library: DataFrame) -> DataFrame:
-    """LCS of every (sequence, library entry) that share a step: ``steps_key, lib_id, lib_len, length, mask``.
+    """LCS length of every (sequence, library entry) that share a step: ``steps, seq_id, lib, lib_len, length``.
 
     Equal sequences are aligned once; pairs without a common step have length 0 and are not built.
     """
-    seqs = sequences.select(_clean_steps("steps").alias("steps")).distinct()
+    seqs = sequences.select(_clean_steps("steps").alias("steps")).distinct().withColumn("_key", F.md5(F.array_join("steps", " ")))
     libs = library.select("seq_id", _clean_steps("steps").alias("lib")).filter(F.size("lib") > 0)
-    a = seqs.select("steps", F.explode(F.array_distinct("steps")).alias("step"))
+    a = seqs.select("_key", F.explode(F.array_distinct("steps")).alias("step"))
     b = libs.select("seq_id", F.explode(F.array_distinct("lib")).alias("step"))
-    pairs = a.join(b, "step").select("steps", "seq_id").distinct().join(libs, "seq_id")
-    scored = pairs.withColumn("_l", lcs_mask("steps", "lib"))
-    return scored.select("steps", "seq_id", F.size("lib").alias("lib_len"), F.size("steps").alias("seq_len"), "_l.length", "_l.mask")
+    pairs = a.join(b, "step").select("_key", "seq_id").distinct().join(seqs, "_key").join(libs, "seq_id")
+    scored = _spread(pairs).withColumn("length", lcs_length("steps", "lib"))
+    return scored.select("steps", "seq_id", "lib", F.size("lib").alias("lib_len"), F.size("steps").alias("seq_len"), "length")
 
 
 def best_alignment(sequences: DataFrame, library: DataFrame) -> DataFrame:
-    """Longest alignment per sequence; ties go to the smallest library id: ``seq_key, length, lib_len, mask``."""
+    """Longest alignment per sequence; ties go to the smallest library id: ``lib_id, length, lib_len, mask``.
+
+    The mask of matched positions is worked out for the best pair only.
+    """
     pairs = aligned(sequences, library)
     best = pairs.groupBy("steps").agg(
-        F.min_by(F.struct("seq_id", "lib_len", "length", "mask"), F.struct(-F.col("length"), F.col("seq_id"))).alias("_b")
+        F.min_by(F.struct("seq_id", "lib", "lib_len", "length"), F.struct(-F.col("length"), F.col("seq_id"))).alias("_b")
     )
+    masked = _spread(best).withColumn("_l", lcs_mask("steps", "_b.lib"))
     keyed = sequences.withColumn("_steps", _clean_steps("steps"))
-    joined = keyed.join(best.withColumnRenamed("steps", "_steps"), "_steps", "left").drop("_steps")
+    joined = keyed.join(masked.withColumnRenamed("steps", "_steps"), "_steps", "left").drop("_steps")
     return joined.select(
         *sequences.columns, F.col("_b.seq_id").alias("lib_id"), F.coalesce("_b.length", F.lit(0)).alias("length"),
-        F.coalesce("_b.lib_len", F.lit(0)).alias("lib_len"), F.col("_b.mask").alias("mask"),
+        F.coalesce("_b.lib_len", F.lit(0)).alias("lib_len"), F.col("_l.mask").alias("mask"),
     )
 
 

@@ -54,32 +54,32 @@ def _candidates(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
     return a.join(b, "feature").select("a", "b").distinct()
 
 
+def _dots(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, dot`` of the pairs that share a feature; the side with the shorter vectors is expanded."""
+    shorter_right = _mean_size(right) <= _mean_size(left)
+    a = left.select(F.col("id").alias("a"), "feature", F.col("weight").alias("_wa"))
+    b = right.select(F.col("id").alias("b"), "feature", F.col("weight").alias("_wb"))
+    joined = pairs.join(b, "b").join(a, ["a", "feature"]) if shorter_right else pairs.join(a, "a").join(b, ["b", "feature"])
+    return joined.groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("dot"))
+
+
+def _mean_size(vectors: DataFrame) -> float:
+    row = vectors.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("m")).first()
+    return row["m"] or 0.0
+
+
 def _scored(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
     """``a, b, sim`` for all pairs with sim >= min_sim; inputs are unit vectors."""
-    pairs = _candidates(left, right, min_sim)
-    packed_b = right.groupBy(F.col("id").alias("b")).agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("_mb")
-    )
-    packed_a = left.groupBy(F.col("id").alias("a")).agg(F.collect_list(F.struct("feature", "weight")).alias("_va"))
-    joined = pairs.join(packed_a, "a").join(packed_b, "b")
-    sim = F.aggregate(
-        "_va", F.lit(0.0),
-        lambda acc, e: acc + e["weight"] * F.coalesce(F.try_element_at("_mb", e["feature"]), F.lit(0.0)),
-    )
-    return joined.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= F.lit(min_sim - 1e-9))
+    pairs = cut(_candidates(left, right, min_sim))
+    dots = _dots(left, right, pairs)
+    return dots.select("a", "b", F.col("dot").alias("sim")).filter(F.col("sim") >= F.lit(min_sim - 1e-9))
 
 
 def score_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cosine of given pairs ``a, b``; 0 when a vector is missing or nothing is shared."""
-    ua, ub = normalised(left), normalised(right)
-    a = ua.groupBy(F.col("id").alias("a")).agg(F.collect_list(F.struct("feature", "weight")).alias("_va"))
-    b = ub.groupBy(F.col("id").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("_mb"))
-    joined = pairs.select("a", "b").distinct().join(a, "a", "left").join(b, "b", "left")
-    sim = F.aggregate(
-        "_va", F.lit(0.0),
-        lambda acc, e: acc + e["weight"] * F.coalesce(F.try_element_at("_mb", e["feature"]), F.lit(0.0)),
-    )
-    return joined.select("a", "b", F.coalesce(sim, F.lit(0.0)).alias("sim"))
+    wanted = pairs.select("a", "b").distinct()
+    dots = _dots(cut(normalised(left)), cut(normalised(right)), wanted)
+    return wanted.join(dots, ["a", "b"], "left").select("a", "b", F.coalesce("dot", F.lit(0.0)).alias("sim"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
@@ -95,7 +95,7 @@ def _signature_pairs(left: DataFrame, right: DataFrame, min_sim: float):
         raise ValueError("the similarity floor must be positive")
     ua, ub = cut(normalised(left)), cut(normalised(right))
     sa, sb = cut(signatures(ua)), cut(signatures(ub))
-    da, db = _distinct_vectors(ua, sa), _distinct_vectors(ub, sb)
+    da, db = cut(_distinct_vectors(ua, sa)), cut(_distinct_vectors(ub, sb))
     return sa, sb, cut(_scored(da, db, min_sim))
 
 
