@@ -66,16 +66,19 @@ _GRAM_SIZES = (1, 2, 4, 8)
 def contains_join(names: DataFrame, name: str, labels: DataFrame, label: str) -> DataFrame:
     """All (name, label) pairs where the label is a substring of the name, as an equi-join.
 
-    A label is keyed by its longest prefix of 1, 2, 4 or 8 characters; a name offers its distinct
-    substrings of the sizes in use. Only pairs that share a key are tested, none is missed.
+    A name offers its distinct substrings of 1, 2, 4 and 8 characters. A label is looked up by one of its
+    own substrings of the largest size that fits, the one that occurs in the fewest names. Only pairs that
+    share this key are tested, none is missed, and common beginnings such as directories do not collect pairs.
     """
     keyed = labels.select(label).distinct().filter(F.length(label) > 0)
-    size = F.coalesce(*[F.when(F.length(label) >= s, F.lit(s)) for s in reversed(_GRAM_SIZES)])
-    keyed = keyed.withColumn("_gram", F.col(label).substr(F.lit(1), size))
+    parts = F.coalesce(*[F.when(F.length(label) >= s, _substrings(label, s)) for s in reversed(_GRAM_SIZES)])
     distinct_names = names.select(name).distinct().filter(F.length(name) > 0)
     grams = [_substrings(name, s) for s in _GRAM_SIZES]
     offered = distinct_names.withColumn("_gram", F.explode(F.array_distinct(F.concat(*grams))))
-    return offered.join(keyed, "_gram").filter(F.col(name).contains(F.col(label))).select(name, label)
+    seen = offered.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = keyed.withColumn("_gram", F.explode(F.array_distinct(parts))).join(seen, "_gram", "left")
+    rarest = wanted.groupBy(label).agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), F.col("_gram"))).alias("_gram"))
+    return offered.join(rarest, "_gram").filter(F.col(name).contains(F.col(label))).select(name, label)
 
 
 def _substrings(name: str, size: int) -> Column:

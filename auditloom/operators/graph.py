@@ -158,7 +158,8 @@ def components(edges: DataFrame, by: list[str] = GRAPH, max_rounds: int = 60) ->
             *by, "node", F.col("component").alias("_old"), F.least("component", "_m").alias("_new")
         )
         jump = labels.select(*by, F.col("node").alias("_new"), F.col("component").alias("_j"))
-        moved = stepped.join(jump, [*by, "_new"], "left").select(
+        # the label of a giant component is a hot key here
+        moved = salted_join(cut(stepped), jump, [*by, "_new"], "left").select(
             *by, "node", "_old", F.least("_new", F.coalesce("_j", "_new")).alias("component")
         )
         moved = cut(moved)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
@@ -169,10 +170,8 @@ def score_gap(top: DataFrame) -> DataFrame:
 
 def expected_rank(scores: DataFrame, expected: DataFrame) -> DataFrame:
     """1 + number of better-scored techniques for each expected (query, technique)."""
-    wanted = expected.join(scores, ["a", "b"]).select("a", "b", F.round("sim", 9).alias("_s"))
-    others = scores.select("a", F.round("sim", 9).alias("_o"))
-    better = F.count_if(F.col("_o") > F.col("_s"))
-    return wanted.join(others, "a").groupBy("a", "b").agg((better + 1).alias("rank"))
+    ranked = scores.withColumn("rank", F.rank().over(W.partitionBy("a").orderBy(F.desc(F.round("sim", 9)))))
+    return ranked.join(expected.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.col("rank").cast("bigint").alias("rank"))
 
 
 # ---- sequence alignment -----------------------------------------------------------------------------

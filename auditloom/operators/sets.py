@@ -12,14 +12,14 @@ def overlapping(members: DataFrame, group: str, item: str, share: float) -> Data
     Only the rarest items of a group are looked up: when more than a share s of the n items of ``a`` is
     shared, at least one of its n - floor(s * n) rarest items is. Candidates are then counted in full.
     """
-    from pyspark.sql import Window as W
+    from auditloom.operators.ranking import ordered_positions
 
     sets = members.select(group, item).distinct()
     frequency = sets.groupBy(item).agg(F.count(F.lit(1)).alias("_df"))
     sizes = sets.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     ranked = sets.join(frequency, item).join(sizes, group)
-    rank = F.row_number().over(W.partitionBy(group).orderBy("_df", item))
-    rare = ranked.withColumn("_r", rank).filter(F.col("_r") <= F.col("_n") - F.floor(F.col("_n") * share))
+    placed = ordered_positions(ranked, [group], [F.col("_df"), F.col(item)], "_r")
+    rare = placed.filter(F.col("_r") <= F.col("_n") - F.floor(F.col("_n") * share))
     a = rare.select(F.col(group).alias("a"), item)
     b = sets.select(F.col(group).alias("b"), item)
     candidates = a.join(b, item).filter(F.col("b") < F.col("a")).select("a", "b").distinct()

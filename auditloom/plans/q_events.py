@@ -364,18 +364,17 @@ def ag9_benign_corpus(spark, sf):
     "ag10_profiles",
     v.with_ctes(
         v.GRAPH,
-        """SELECT 'entity' AS kind, n.prop AS key, string_agg(DISTINCT e.actions_str, '|' ORDER BY e.actions_str) AS seen
-           FROM edges e JOIN nodes n ON e.snapshot_id = n.snapshot_id AND e.src = n.name GROUP BY 2
-           UNION ALL SELECT 'type', lower(type), string_agg(DISTINCT prop, '|' ORDER BY prop) FROM nodes GROUP BY 2""",
+        """SELECT DISTINCT 'entity' AS kind, n.prop AS key, e.actions_str AS seen
+           FROM edges e JOIN nodes n ON e.snapshot_id = n.snapshot_id AND e.src = n.name
+           UNION ALL SELECT DISTINCT 'type', lower(type), prop FROM nodes""",
     ),
 )
 def ag10_profiles(spark, sf):
     from auditloom.operators.augment import profiles
 
     ops, attrs = profiles(v.nodes(spark, sf), v.edges(spark, sf))
-    a = ops.groupBy(F.col("prop").alias("key")).agg(F.array_join(F.array_sort(F.collect_set("operation")), "|").alias("seen"))
-    b = attrs.groupBy(F.col("type").alias("key")).agg(F.array_join(F.array_sort(F.collect_set("prop")), "|").alias("seen"))
-    return a.withColumn("kind", F.lit("entity")).unionByName(b.withColumn("kind", F.lit("type")))
+    a = ops.select(F.lit("entity").alias("kind"), F.col("prop").alias("key"), F.col("operation").alias("seen"))
+    return a.unionByName(attrs.select(F.lit("type").alias("kind"), F.col("type").alias("key"), F.col("prop").alias("seen")))
 
 
 @query(

@@ -65,13 +65,12 @@ def gr1_ego_hubs(spark, sf):
     v.with_ctes(
         v.GRAPH,
         ADJ,
-        """SELECT snapshot_id, count(*) AS n_pairs FROM (SELECT DISTINCT a.snapshot_id, a.node, b.nbr FROM adj a
-             JOIN adj b ON a.snapshot_id = b.snapshot_id AND a.nbr = b.node WHERE a.node <> b.nbr
-             AND NOT EXISTS (SELECT 1 FROM adj c WHERE c.snapshot_id = a.snapshot_id AND c.node = a.node AND c.nbr = b.nbr)) GROUP BY 1""",
+        ego_sql(64),
+        "SELECT snapshot_id, count(*) AS n_pairs FROM ego WHERE hop = 2 GROUP BY 1",
     ),
 )
 def jn8_two_hop_counts(spark, sf):
-    reached = graph.ego(v.edges(spark, sf), all_centers(v.nodes(spark, sf)), 2, None).filter("hop = 2")
+    reached = egos(spark, sf, 64).filter("hop = 2")
     return reached.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
@@ -329,17 +328,16 @@ def gr13_simple_paths(spark, sf):
         v.GRAPH,
         ADJ,
         COMP,
-        """pr AS (SELECT DISTINCT n.snapshot_id, m.name AS a, n.name AS b FROM nodes n JOIN nodes m ON m.snapshot_id = n.snapshot_id
-             WHERE m.label = 1 AND n.type = 'SUBJECT_PROCESS' AND m.name <> n.name)""",
+        """pr AS (SELECT snapshot_id, min(name) OVER (PARTITION BY snapshot_id) AS a, name AS b FROM nodes WHERE type = 'SUBJECT_PROCESS')""",
         """SELECT p.snapshot_id, p.a, p.b, CASE WHEN x.component = y.component THEN 1 ELSE 0 END AS related FROM pr p
            LEFT JOIN comp x ON x.snapshot_id = p.snapshot_id AND x.node = p.a LEFT JOIN comp y ON y.snapshot_id = p.snapshot_id AND y.node = p.b""",
     ),
 )
 def gr14_related(spark, sf):
     n = v.nodes(spark, sf)
-    marked = n.filter("label = 1").select("snapshot_id", F.col("name").alias("a"))
     procs = n.filter("type = 'SUBJECT_PROCESS'").select("snapshot_id", F.col("name").alias("b"))
-    pairs = marked.join(procs, "snapshot_id").filter("a <> b")
+    first = procs.groupBy("snapshot_id").agg(F.min("b").alias("a"))
+    pairs = procs.join(first, "snapshot_id")
     return graph.related(pairs, graph.components(v.edges(spark, sf)))
 
 

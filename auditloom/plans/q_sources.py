@@ -373,7 +373,7 @@ def src14_rows_per_file(spark, sf):
 
 
 def _stix(spark, sf):
-    """One bundle per part brand: an attack pattern per part, and sub-technique links to part numbers / 10."""
+    """One bundle per hundred parts: an attack pattern per part, and sub-technique links to part numbers / 10."""
     part = v.table(spark, sf, "part")
     key = F.col("p_partkey")
     tech = F.concat(F.lit("T"), 1000 + key)
@@ -400,11 +400,11 @@ def _stix(spark, sf):
     )
     element = techniques.STIX_SCHEMA[len("objects array<") : -1]
     obj, rel = obj.cast(element), rel.cast(element)
-    rows = part.select("p_brand", F.explode(F.when(key % 10 == 0, F.array(obj)).otherwise(F.array(obj, rel))).alias("o"))
-    bundles = rows.groupBy("p_brand").agg(F.to_json(F.struct(F.collect_list("o").alias("objects"))).alias("value"))
+    rows = part.select(F.expr("p_partkey div 100").alias("bundle"), F.explode(F.when(key % 10 == 0, F.array(obj)).otherwise(F.array(obj, rel))).alias("o"))
+    bundles = rows.groupBy("bundle").agg(F.to_json(F.struct(F.collect_list("o").alias("objects"))).alias("value"))
     path = scratch_path(spark, "stix")
-    bundles.write.partitionBy("p_brand").text(path)
-    return techniques.read_stix_objects(spark, path)
+    bundles.select("value").write.text(path)
+    return techniques.read_stix_objects(spark, path, one_per_line=True)
 
 
 STIX_ACTIVE = "p_partkey % 7 <> 3 AND p_partkey % 11 <> 4 AND p_partkey % 13 <> 5"

@@ -206,7 +206,7 @@ OBJECTS = ("malicious code", "stolen Credentials", "valid session tokens", "regi
            "weather", "phishing kit", "additional cron job", "legitimate remote server")
 
 TRIPLES = f"""tri AS (
-  SELECT doc_id, 'T' || (1000 + doc_id % 60) AS tech_id, {v._sql_pick(SUBJECTS, 'doc_id % 4')} AS subject,
+  SELECT doc_id, 'T' || (1000 + doc_id // 5) AS tech_id, {v._sql_pick(SUBJECTS, 'doc_id % 4')} AS subject,
     {v._sql_pick(VERBS, 'doc_id % 10')} AS verb, {v._sql_pick(OBJECTS, 'n_chars % 10')} AS object FROM documents)"""
 CLEAN = "lower(trim(object))"
 for _m in V.INTENT_MODIFIERS:
@@ -224,7 +224,7 @@ mapped AS (SELECT doc_id, tech_id, subject, verb, object, {v.case_sql('s', V.INT
 def intent_triples(spark, sf):
     docs = v.table(spark, sf, "documents")
     return docs.select(
-        "doc_id", F.concat(F.lit("T"), 1000 + F.col("doc_id") % 60).alias("tech_id"),
+        "doc_id", F.concat(F.lit("T"), 1000 + F.expr("doc_id div 5")).alias("tech_id"),
         v._pick(SUBJECTS, F.col("doc_id") % 4).alias("subject"), v._pick(VERBS, F.col("doc_id") % 10).alias("verb"),
         v._pick(OBJECTS, F.col("n_chars") % 10).alias("object"),
     )

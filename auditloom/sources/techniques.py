@@ -14,9 +14,9 @@ STIX_SCHEMA = (
 )
 
 
-def read_stix_objects(spark: SparkSession, path) -> DataFrame:
-    """One row per object. A bundle is one JSON document; pass one file per bundle."""
-    bundle = spark.read.schema(STIX_SCHEMA).option("multiLine", "true").json(path)
+def read_stix_objects(spark: SparkSession, path, one_per_line: bool = False) -> DataFrame:
+    """One row per object. A bundle is one JSON document: one per file, or one per line."""
+    bundle = spark.read.schema(STIX_SCHEMA).option("multiLine", str(not one_per_line).lower()).json(path)
     return bundle.select(F.explode("objects").alias("o")).select("o.*")
 
 
