@@ -52,7 +52,7 @@ def read_triples(spark: SparkSession, path, whole: bool = True) -> DataFrame:
     """``tech_id, triples`` from JSON objects of lists, one object per file or (``whole`` off) per line;
     techniques without triples are skipped."""
     triple = T.StructType([T.StructField(c, T.StringType()) for c in ("subject", "verb", "object")])
-    text = spark.read.option("wholetext", str(whole).lower()).text(path)
+    text = spark.read.text(path, wholetext=whole)
     parsed = text.select(F.from_json("value", T.MapType(T.StringType(), T.ArrayType(triple))).alias("m"))
     rows = parsed.select(F.explode("m").alias("tech_id", "triples"))
     return rows.filter(F.size("triples") > 0)
