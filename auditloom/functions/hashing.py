@@ -35,18 +35,14 @@ def stable_id(name: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
 
 
-def multiset_parts(text: Column, count: Column | None = None) -> list[Column]:
-    """Two order-free sums which together identify a multiset of texts.
+def multiset_sums(text: Column) -> Column:
+    """Aggregate that identifies a multiset of texts: three order-free sums of 32-bit parts of their md5.
 
     The sums are plain aggregates, so a group of any size is combined map-side and never has to be
-    collected and sorted in one place.
+    collected and sorted in one place. A sum holds for groups of up to 2**31 texts.
     """
-    one = F.lit(1) if count is None else count
-    halves = []
-    for start in (1, 16):
-        code = F.conv(F.substring(F.md5(text), start, 15), 16, 10).cast("decimal(20,0)")
-        halves.append(F.sum((code * one.cast("decimal(12,0)")).cast("decimal(34,0)")).cast("string"))
-    return halves
+    parts = [F.conv(F.substring(F.md5(text), start, 8), 16, 10).cast("bigint") for start in (1, 9, 17)]
+    return F.concat_ws("|", *[F.sum(p).cast("string") for p in parts])
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -298,10 +298,13 @@ def pack_egos(egos: DataFrame, nodes: DataFrame, inside: DataFrame, by: list[str
 def aligned_regions(pairs: DataFrame, max_region: int = 16, max_seeds: int = 10, top_m: int = 3) -> DataFrame:
     """Best matching regions per pair (``pair_id, b_nodes, b_edges, a_nodes, a_edges`` nested)."""
 
+    columns = [c.split()[0] for c in REGION_SCHEMA.split(", ")]
+
     def run(batches):
         for batch in batches:
-            out = [_regions(batch.iloc[[i]], max_region, max_seeds, top_m) for i in range(len(batch))]
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=REGION_SCHEMA.split()[::2])
+            found = (_regions(batch.iloc[[i]], max_region, max_seeds, top_m) for i in range(len(batch)))
+            kept = [f for f in found if len(f)]
+            yield pd.concat(kept, ignore_index=True) if kept else pd.DataFrame(columns=columns)
 
     filled = pairs.withColumns({c: F.coalesce(c, F.expr("array()").cast(pairs.schema[c].dataType)) for c in ("b_edges", "a_edges")})
     tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)

@@ -35,10 +35,10 @@ def ordered_positions(
 
     With ``weight`` and ``before`` the exclusive running sum of the weight column is added too.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(g) for g in group]
-    placed = cut(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    # without a fixed number adaptive execution merges neighbouring ranges of small tables
+    ranged = df.repartitionByRange(partitions, *keys, *order) if partitions else df.repartitionByRange(*keys, *order)
+    placed = cut(ranged.withColumn("_part", F.spark_partition_id()))
     local = W.partitionBy("_part", *group).orderBy(*order)
     out = placed.withColumn("_local", F.row_number().over(local))
     sizes = [F.count(F.lit(1)).alias("_n")]

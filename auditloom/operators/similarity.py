@@ -1,9 +1,10 @@
 """Exact cosine joins on sparse vectors ``id, feature, weight``.
 
-Vectors that are equal are joined once. For a floor ``min_sim`` only a prefix of each vector is put in
-the index: features are ordered from rare to common, and the common rest whose norm is below the floor
-cannot carry a pair over it. So features shared by very many vectors rarely reach the join, and no
-pair above the floor is missed. Candidate pairs are then scored with their full vectors.
+Vectors that are equal are joined once. Of each vector only a prefix is put in the index: features are
+ordered from rare to common, and the common rest is left out from where its norm drops below half the
+floor. What two vectors share outside both prefixes then adds less than half the floor to their cosine,
+so a pair can only reach the floor when its prefixes alone give the other half. Features shared by very many vectors
+rarely reach the join, and no pair above the floor is missed. The pairs left are scored with their full vectors.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ def normalised(vectors: DataFrame) -> DataFrame:
 
 def signatures(vectors: DataFrame) -> DataFrame:
     """``id, sig``: equal vectors share a signature (order-free sums over their entries)."""
-    from auditloom.functions.hashing import multiset_parts
+    from auditloom.functions.hashing import multiset_sums
 
-    a, b = multiset_parts(F.concat_ws("=", F.col("feature"), F.round("weight", 9).cast("string")))
-    sums = vectors.groupBy("id").agg(a.alias("_a"), b.alias("_b"), F.count(F.lit(1)).alias("_n"))
-    return sums.select("id", F.md5(F.concat_ws("|", "_a", "_b", F.col("_n").cast("string"))).alias("sig"))
+    entry = F.concat_ws("=", F.col("feature"), F.round("weight", 9).cast("string"))
+    sums = vectors.groupBy("id").agg(multiset_sums(entry).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    return sums.select("id", F.md5(F.concat_ws("|", "_m", F.col("_n").cast("string"))).alias("sig"))
 
 
 def _distinct_vectors(unit: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -38,20 +39,22 @@ def _distinct_vectors(unit: DataFrame, sigs: DataFrame) -> DataFrame:
     return unit.join(first, "id").select(F.col("sig").alias("id"), "feature", "weight")
 
 
-def _prefix(unit: DataFrame, frequency: DataFrame, min_sim: float) -> DataFrame:
-    """Entries before the point where the norm of the remaining, more common entries drops below the floor."""
+def _prefix(unit: DataFrame, frequency: DataFrame, rest_norm: float) -> DataFrame:
+    """Entries before the point where the norm of the remaining, more common entries drops below ``rest_norm``."""
     ranked = unit.join(frequency, "feature")
     tail = W.partitionBy("id").orderBy(F.desc("_df"), F.desc("feature"))
     rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(tail.rowsBetween(W.unboundedPreceding, 0)))
-    return ranked.withColumn("_rest", rest).filter(F.col("_rest") >= F.lit(min_sim - 1e-9)).select("id", "feature", "weight")
+    return ranked.withColumn("_rest", rest).filter(F.col("_rest") >= F.lit(rest_norm)).select("id", "feature", "weight")
 
 
 def _candidates(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
     seen = left.select("id", "feature").unionByName(right.select("id", "feature"))
     frequency = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("_df"))
-    a = _prefix(left, frequency, min_sim).select(F.col("id").alias("a"), "feature")
-    b = _prefix(right, frequency, min_sim).select(F.col("id").alias("b"), "feature")
-    return a.join(b, "feature").select("a", "b").distinct()
+    rest = min_sim / 2
+    a = _prefix(left, frequency, rest).select(F.col("id").alias("a"), "feature", F.col("weight").alias("_wa"))
+    b = _prefix(right, frequency, rest).select(F.col("id").alias("b"), "feature", F.col("weight").alias("_wb"))
+    partial = a.join(b, "feature").groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_p"))
+    return partial.filter(F.col("_p") >= F.lit(min_sim - rest - 1e-9)).select("a", "b")
 
 
 def _dots(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:

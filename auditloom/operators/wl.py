@@ -1,6 +1,6 @@
 """Weisfeiler-Leman labels, histograms, kernel and rooted-subgraph counts.
 
-The multiset of neighbour labels is folded into two order-free md5 sums (see ``hashing.multiset_parts``)
+The multiset of neighbour labels is folded into order-free md5 sums (see ``hashing.multiset_sums``)
 instead of a sorted list: equal multisets get equal labels, and a hub's neighbours are combined map-side.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.hashing import hash60, multiset_parts, short_label
+from auditloom.functions.hashing import hash60, multiset_sums, short_label
 from auditloom.functions.text import basename, is_file, is_network, is_process
 from auditloom.operators.graph import doubled
 from auditloom.operators.ranking import hot_keys, salted_join, top_per_group
@@ -62,11 +62,9 @@ def wl_labels(labels: DataFrame, edges: DataFrame, h: int, by: list[str] = GRAPH
         lookup = current.select(*by, F.col("node").alias("nbr"), F.col("label").alias("_nl"))
         around = salted_join(links, lookup, [*by, "nbr"], hot=hot)
         text = F.concat("actions_str", F.lit(":"), "_nl")
-        counted = around.groupBy(*by, "node", text.alias("_t")).agg(F.count(F.lit(1)).alias("_c"))
-        a, b = multiset_parts(F.col("_t"), F.col("_c"))
-        folded = counted.groupBy(*by, "node").agg(a.alias("_a"), b.alias("_b"))
+        folded = around.groupBy(*by, "node").agg(multiset_sums(text).alias("_m"))
         joined = current.join(folded, [*by, "node"], "left")
-        whole = F.concat_ws("|", "label", F.coalesce("_a", F.lit("0")), F.coalesce("_b", F.lit("0")))
+        whole = F.concat_ws("|", "label", F.coalesce("_m", F.lit("none")))
         current = cut(joined.select(*by, "node", short_label(whole).alias("label")))
         out = out.unionByName(current.withColumn("iter", F.lit(step)))
     return out

@@ -373,10 +373,11 @@ def wl_sql(start: str, rounds: int = 2) -> str:
     ]
     for i in range(1, rounds + 1):
         parts.append(
-            f"""l{i} AS (SELECT l.snapshot_id, l.node, substring(md5(l.label || '|' || coalesce(s.a, '0') || '|' || coalesce(s.b, '0')), 1, 16)
+            f"""l{i} AS (SELECT l.snapshot_id, l.node, substring(md5(l.label || '|' || coalesce(s.m, 'none')), 1, 16)
                   AS label FROM l{i - 1} l LEFT JOIN (
-                  SELECT snapshot_id, node, sum(('0x' || substring(md5(t), 1, 15))::BIGINT::HUGEINT)::HUGEINT::VARCHAR AS a,
-                    sum(('0x' || substring(md5(t), 16, 15))::BIGINT::HUGEINT)::HUGEINT::VARCHAR AS b FROM (
+                  SELECT snapshot_id, node, sum(('0x' || substring(md5(t), 1, 8))::BIGINT)::BIGINT || '|' ||
+                    sum(('0x' || substring(md5(t), 9, 8))::BIGINT)::BIGINT || '|' ||
+                    sum(('0x' || substring(md5(t), 17, 8))::BIGINT)::BIGINT AS m FROM (
                     SELECT k.snapshot_id, k.node, k.actions_str || ':' || n.label AS t FROM lk k JOIN l{i - 1} n
                       ON n.snapshot_id = k.snapshot_id AND n.node = k.nbr) GROUP BY 1, 2) s
                   ON s.snapshot_id = l.snapshot_id AND s.node = l.node)"""

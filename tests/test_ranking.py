@@ -8,10 +8,11 @@ from auditloom.operators import detect, ranking, similarity
 from auditloom.operators.sets import overlapping
 
 
-def test_positions_in_one_huge_group(spark):
+@pytest.mark.parametrize("partitions", [None, 1, 7])
+def test_positions_in_one_huge_group(spark, partitions):
     rows = [("hot" if i % 3 else "cold", i % 7, i) for i in range(900)]
     df = spark.createDataFrame(rows, "g string, v int, id int")
-    got = ranking.ordered_positions(df, ["g"], [F.desc("v"), F.col("id")], "p", weight="v", before="b", partitions=7).collect()
+    got = ranking.ordered_positions(df, ["g"], [F.desc("v"), F.col("id")], "p", weight="v", before="b", partitions=partitions).collect()
     for group in ("hot", "cold"):
         want = sorted((r for r in rows if r[0] == group), key=lambda r: (-r[1], r[2]))
         mine = sorted((r for r in got if r.g == group), key=lambda r: r.p)
