@@ -141,7 +141,7 @@ def context_triples(nodes: DataFrame, edges: DataFrame, centers: DataFrame, r: i
 
 
 # ---- reachability -------------------------------------------------------------------------------
-def components(edges: DataFrame, by: list[str] = GRAPH, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, by: list[str] = GRAPH) -> DataFrame:
     """Connected components: smallest name per component as ``component``.
 
     Each round takes the smallest label among the neighbours and then the label of that label, so long
@@ -150,7 +150,8 @@ def components(edges: DataFrame, by: list[str] = GRAPH, max_rounds: int = 60) ->
     adj = cut(adjacency(edges, by).unionByName(edges.select(*by, F.col("src").alias("node"), F.col("src").alias("nbr"))).distinct())
     hot = hot_keys(adj, [*by, "nbr"])
     labels = cut(adj.groupBy(*by, "node").agg(F.min("nbr").alias("component")))
-    for _ in range(max_rounds):
+    changed = 1
+    while changed:
         lookup = labels.select(*by, F.col("node").alias("nbr"), F.col("component").alias("_c"))
         seen = salted_join(adj, lookup, [*by, "nbr"], hot=hot)
         near = seen.groupBy(*by, "node").agg(F.min("_c").alias("_m"))
@@ -165,8 +166,6 @@ def components(edges: DataFrame, by: list[str] = GRAPH, max_rounds: int = 60) ->
         moved = cut(moved)
         changed = moved.filter(F.col("_old") != F.col("component")).count()
         labels = moved.drop("_old")
-        if changed == 0:
-            break
     return labels
 
 
@@ -185,15 +184,13 @@ def related(pairs: DataFrame, comps: DataFrame, by: list[str] = GRAPH) -> DataFr
     return joined.withColumn("related", same).drop("_ca", "_cb")
 
 
-def ancestors(edges: DataFrame, targets: DataFrame, by: list[str] = GRAPH, max_rounds: int = 100) -> DataFrame:
+def ancestors(edges: DataFrame, targets: DataFrame, by: list[str] = GRAPH) -> DataFrame:
     """All transitive predecessors of each target: ``node, ancestor`` (only new pairs are expanded)."""
     parents = cut(edges.select(*by, F.col("dst").alias("_child"), F.col("src").alias("ancestor")).distinct())
     first = targets.select(*by, "node").distinct().withColumn("_child", F.col("node"))
     frontier = cut(first.join(parents, [*by, "_child"]).select(*by, "node", "ancestor").distinct())
     found = frontier
-    for _ in range(max_rounds):
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():
         step = frontier.withColumnRenamed("ancestor", "_child").join(parents, [*by, "_child"])
         fresh = step.select(*by, "node", "ancestor").distinct().join(found, [*by, "node", "ancestor"], "left_anti")
         frontier = cut(fresh)
@@ -273,12 +270,19 @@ def process_weights(
     closes = adj.select(*by, F.col("node").alias("a"), F.col("nbr").alias("t"))
     three = first.filter("_ra").join(closes, [*by, "a", "t"], "left_semi").select(*by, "src", "dst", F.lit(3).alias("loop"))
     open_pairs = first.join(three.select(*by, "src", "dst").distinct(), [*by, "src", "dst"], "left_anti")
-    second = typed.select(*by, F.col("node").alias("a"), F.col("nbr").alias("b"), is_resource.alias("_rb"))
-    longer = open_pairs.join(second, [*by, "a"]).filter(
-        (F.col("b") != F.col("s")) & (F.col("b") != F.col("t")) & (F.col("_ra") | F.col("_rb"))
+    # the last inner node is a neighbour of both a and t: again the end with fewer neighbours is expanded
+    size = lambda end: deg.select(*by, F.col("node").alias(end), F.col("_d").alias(f"_d{end}"))
+    open_pairs = open_pairs.join(size("a"), [*by, "a"]).join(size("t"), [*by, "t"])
+    narrow = F.col("_da") <= F.col("_dt")
+    open_pairs = open_pairs.withColumns(
+        {"x": F.when(narrow, F.col("a")).otherwise(F.col("t")), "y": F.when(narrow, F.col("t")).otherwise(F.col("a"))}
+    )
+    second = typed.select(*by, F.col("node").alias("x"), F.col("nbr").alias("b"), is_resource.alias("_rb"))
+    longer = open_pairs.join(second, [*by, "x"]).filter(
+        ~F.col("b").isin(F.col("s"), F.col("t"), F.col("a")) & (F.col("_ra") | F.col("_rb"))
     )
-    ends = adj.select(*by, F.col("node").alias("b"), F.col("nbr").alias("t"))
-    four = longer.join(ends, [*by, "b", "t"], "left_semi").select(*by, "src", "dst", F.lit(4).alias("loop"))
+    ends = adj.select(*by, F.col("node").alias("b"), F.col("nbr").alias("y"))
+    four = longer.join(ends, [*by, "b", "y"], "left_semi").select(*by, "src", "dst", F.lit(4).alias("loop"))
     loops = three.unionByName(four).groupBy(*by, "src", "dst").agg(F.min("loop").alias("loop"))
     raw = pairs.join(loops, [*by, "src", "dst"], "left").withColumn(
         "_w", F.when(F.col("loop").isNull(), F.lit(1.0)).otherwise(1.0 + F.lit(boost) / F.col("loop"))
