@@ -1,10 +1,10 @@
 """Exact cosine joins on sparse vectors ``id, feature, weight``.
 
 Vectors that are equal are joined once. Of each vector only a prefix is put in the index: features are
-ordered from rare to common, and the common rest is left out from where its norm drops below half the
-floor. What two vectors share outside both prefixes then adds less than half the floor to their cosine,
-so a pair can only reach the floor when its prefixes alone give the other half. Features shared by very many vectors
-rarely reach the join, and no pair above the floor is missed. The pairs left are scored with their full vectors.
+ordered from rare to common, and the common rest is left out from where its norm drops below a quarter of
+the floor. What two vectors share outside both prefixes then adds less than that quarter to their cosine, so
+a pair can only reach the floor when its prefixes alone give the other three. The most common features stay
+out of the join, no pair above the floor is missed, and the few pairs left are scored with their full vectors.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def _prefix(unit: DataFrame, frequency: DataFrame, rest_norm: float) -> DataFram
 def _candidates(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
     seen = left.select("id", "feature").unionByName(right.select("id", "feature"))
     frequency = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("_df"))
-    rest = min_sim / 2
+    rest = min_sim / 4
     a = _prefix(left, frequency, rest).select(F.col("id").alias("a"), "feature", F.col("weight").alias("_wa"))
     b = _prefix(right, frequency, rest).select(F.col("id").alias("b"), "feature", F.col("weight").alias("_wb"))
     partial = a.join(b, "feature").groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_p"))
