@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,21 +28,47 @@ def build_session(app: str = "auditloom", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``.
+    """Use the shared folder named by ``spark.checkpoint.dir``, else one below the session's warehouse folder.
 
-    Only a local session may fall back to a folder of its own: on a cluster a machine-local
-    folder would be lost with its machine.
+    Both are reached by the driver and all executors. What this application wrote there is removed when it ends.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="auditloom-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/auditloom-checkpoints")
+    atexit.register(_remove_checkpoints, sc)
+
+
+def _remove_checkpoints(sc) -> None:
+    """Delete this application's own folder; nothing to do if the session was stopped before."""
+    if sc._jsc is None:
+        return
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(own.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of all executors, once for each application.
+
+    The archive is made on the driver and served by Spark's own file server, so that no installation on the executors
+    is needed.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="auditloom-")) / "auditloom-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
 
 
 def cut(df: DataFrame) -> DataFrame:
