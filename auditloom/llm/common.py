@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.session import cut
+from auditloom.session import cut, scratch_path
 
 #: ASCII upper to lower case, all other bytes unchanged.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -24,6 +24,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read again: columns compress and can be read singly."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words(text: str) -> list[bytes]:
     """ASCII-lower-cased words: maximal runs without space, tab, line feed, vertical tab, form feed, return."""
     return text.encode("utf-8").translate(LOWER).split()
