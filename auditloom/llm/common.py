@@ -49,30 +49,33 @@ def byte_slices(items: list[str], most: int = 1 << 22) -> Iterator[tuple[int, in
 
 
 class Memo:
-    """Values of short strings, computed in batches and kept up to ``limit`` entries per Python worker.
+    """Values of short strings, computed in batches and kept in two generations of ``limit`` entries per Python worker.
 
-    The memo is emptied when full and longer strings are not kept, so that its memory is bounded; results do not
-    depend on what it holds.
+    A full young generation becomes the old one, and what is met again moves back, so frequent strings stay and memory is
+    bounded; longer strings are not kept. Results do not depend on what it holds.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 400_000, longest: int = 48):
+    def __init__(self, compute: Callable[[list[str]], list], limit: int = 250_000, longest: int = 48):
         self.compute, self.limit, self.longest = compute, limit, longest
-        self.known: dict[str, object] = {}
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
     def lookup(self, lists: list[list[str]]) -> list[list]:
         """The values of every string of every list."""
-        known = self.known
-        missing = set().union(*lists) - known.keys() if lists else set()
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = set().union(*lists)
-        missing = sorted(missing)
+        met = set().union(*lists)
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = met - young.keys()
+        for x in missing & old.keys():
+            young[x] = old[x]
+        missing = sorted(missing - young.keys())
         for lo, hi in byte_slices(missing):
-            known.update(zip(missing[lo:hi], self.compute(missing[lo:hi]), strict=True))
-        found = [list(map(known.__getitem__, x)) for x in lists]
+            young.update(zip(missing[lo:hi], self.compute(missing[lo:hi]), strict=True))
+        found = [list(map(young.__getitem__, x)) for x in lists]
         for x in missing:
             if len(x) > self.longest:
-                del known[x]
+                del young[x]
         return found
 
 

@@ -58,7 +58,7 @@ class MergeCodec:
         self.automaton.make_automaton()
         self.sound: dict[int, bool] = {}
         self.apart: dict[int, bool] = {}
-        self.memo = Memo(lambda segments: [self._entry(s) for s in segments], limit=300_000)
+        self.memo = Memo(lambda segments: [self._entry(s) for s in segments], limit=150_000)
 
     # -- merge rules --
     def _merged(self, text: str, border: int = -1) -> list[str] | None:
