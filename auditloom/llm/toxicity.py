@@ -131,7 +131,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Dat
     return found.select("doc_id", "toxic", "grade", F.explode(zipped).alias("_t")).select("doc_id", "toxic", "grade", "_t.*")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 50_000, max_terms: int = 4096, min_docs: int = 5, min_z: float = 6.0) -> Grader:
+def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, max_terms: int = 4096, min_docs: int = 5, min_z: float = 6.0) -> Grader:
     """Fit on at most ``max_labelled`` labelled documents and ``max_terms`` words.
 
     Document frequencies are summed by Spark; only the chosen words' occurrences in the sample reach the driver.
@@ -155,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 50_000, max_t
     if not names:
         return Grader([], np.zeros(0), _prior(all_bad / all_docs))
     picked = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in ["", *names]], "term string"))
-    rows = terms.join(picked, "term").select("doc_id", "toxic", "grade", "term", "n").toPandas()
+    rows = terms.join(picked, "term").select("doc_id", "toxic", "grade", "term", "n").toArrow().to_pandas(strings_to_categorical=True)
+    rows["term"] = rows["term"].astype(str)
     codes, ids = rows["doc_id"].factorize()
     toxic = np.zeros(len(ids), np.int64)
     given = np.full(len(ids), -1, np.int64)
