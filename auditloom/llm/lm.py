@@ -168,11 +168,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _most_frequent(counts: DataFrame, head: int) -> list:
+    """At most ``head`` rows with the largest counts, in order: those above the smallest power of 1.1 that so few exceed.
+
+    Only a histogram of the counts' magnitudes and the chosen rows reach the driver.
+    """
+    power = F.floor(F.log("n") / math.log(1.1) + 1e-9).cast("int")
+    sizes = sorted(((r["p"], r["count"]) for r in counts.groupBy(power.alias("p")).count().collect()), reverse=True)
+    least, total = None, 0
+    for p, n in sizes:
+        if total + n > head:
+            break
+        least, total = p, total + n
+    if least is None:
+        return []
+    return sorted(counts.where(power >= least).collect(), key=lambda r: (-r["n"], r["word"]))
+
+
 def train(docs: DataFrame, *, head: int = 65_536, rounds: int = 2) -> Model:
     """A model of all rows of ``docs``."""
     spark = docs.sparkSession
     counts = cut(word_counts(docs))
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
+    top = _most_frequent(counts, head)
     head_words = [r["word"].encode() for r in top]
     single = [r["word"] for r in top[:SINGLE]]
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -225,7 +242,9 @@ def _round(docs: DataFrame, weights: np.ndarray, head) -> np.ndarray:
         return pa.table([table["block"][:1], table["salt"][:1], *summed], ["block", "salt", "update", "share"])
 
     schema = "block int, salt int, update binary, share binary"
-    partial = docs.mapInArrow(run, schema).groupBy("block", "salt").applyInArrow(add, schema)
+    # every task sends an update of the model's size: their number follows the cores, not the partitions
+    tasks = docs.coalesce(max(1, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+    partial = tasks.mapInArrow(run, schema).groupBy("block", "salt").applyInArrow(add, schema)
     total = partial.groupBy("block").applyInArrow(add, schema).collect()
     out = weights.copy()
     for r in total:
