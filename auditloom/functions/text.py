@@ -94,11 +94,11 @@ def quoted_name(props: Column) -> Column:
 
 def process_role(name: Column) -> Column:
     base = basename(F.lower(F.trim(name)))
-    return F.coalesce(lookup(V.inverted(V.PROCESS_ROLES), base), base)
+    return F.coalesce(lookup(V.PROCESS_ROLES, base), base)
 
 
 def is_known_process(name: Column) -> Column:
-    return lookup(V.inverted(V.PROCESS_ROLES), basename(F.lower(F.trim(name)))).isNotNull()
+    return lookup(V.PROCESS_ROLES, basename(F.lower(F.trim(name)))).isNotNull()
 
 
 def file_kind(path: Column) -> Column:
@@ -106,14 +106,14 @@ def file_kind(path: Column) -> Column:
     text = F.trim(path)
     by_extension = F.when(
         text.contains("."),
-        lookup(V.inverted(V.FILE_EXTENSIONS), F.concat(F.lit("."), F.substring_index(text, ".", -1))),
+        lookup(V.FILE_EXTENSIONS, F.concat(F.lit("."), F.substring_index(text, ".", -1))),
     )
     by_marker = first_match([(text.contains(m), F.lit(kind)) for m, kind in V.PATH_MARKERS])
     return F.coalesce(by_extension, by_marker, F.lit(""))
 
 
 def port_class(port: Column) -> Column:
-    return F.coalesce(lookup(V.inverted(V.PORT_CLASSES), F.trim(port)), F.lit(""))
+    return F.coalesce(lookup(V.PORT_CLASSES, F.trim(port)), F.lit(""))
 
 
 def is_private_ip(ip: Column) -> Column:
@@ -193,7 +193,7 @@ def network_fields(props: Column) -> list[Column]:
 
 def edge_category(actions: Column) -> Column:
     """Category of the first known action of an array, else the default."""
-    categories = {a: c for c, names in V.EDGE_CATEGORIES.items() for a in names.split()}
+    categories = V.EDGE_CATEGORIES
     known = F.filter(F.transform(actions, lambda a: lookup(categories, F.trim(a))), lambda c: c.isNotNull())
     return F.coalesce(F.get(known, F.lit(0)), F.lit(V.DEFAULT_EDGE_CATEGORY))
 

@@ -1,11 +1,10 @@
-"""Training-set builders: drops, masks, injections, fused and mined negatives, verification.
+"""Training-set builders: drops, masks, injections, fused negatives, verification.
 
 Random draws are md5 draws on (key, seed), so every result can be reproduced on any partitioning.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from auditloom.functions import text as T
 from auditloom.functions.hashing import any_of, hash60, unit_draw
 from auditloom.operators.features import token_mean
 from auditloom.operators.graph import degrees
-from auditloom.operators.ranking import ordered_positions, top_per_group
+from auditloom.operators.ranking import ordered_positions
 
 GRAPH = ["snapshot_id"]
 
@@ -205,113 +204,6 @@ def fused_negatives(
     return left.unionByName(right), inner.unionByName(shifted).unionByName(crossing)
 
 
-# ---- structural search and replacement -------------------------------------------------------------
-REGION_SCHEMA = "pair_id string, rank int, score double, a_node string, b_node string"
-
-
-def _tokens(row) -> frozenset:
-    return frozenset(f"{k}:{row[k]}" for k in ("name", "type", "prop", "frequency"))
-
-
-def _overlap(a: frozenset, b: frozenset) -> float:
-    either = len(a | b)
-    return len(a & b) / either if either else 0.0
-
-
-def _links(text: list) -> dict:
-    out: dict = {}
-    for src, dst in text:
-        if src != dst:
-            out.setdefault(src, set()).add(dst)
-            out.setdefault(dst, set()).add(src)
-    return out
-
-
-def _regions(pair: pd.DataFrame, max_region: int, max_seeds: int, top_m: int) -> pd.DataFrame:
-    """Paired breadth-first regions of one (benign ego, attack ego) pair; both egos are size-limited."""
-    row = pair.iloc[0]
-    nodes_b = {n["name"]: n for n in row["b_nodes"]}
-    nodes_a = {n["name"]: n for n in row["a_nodes"]}
-    near_b, near_a = _links([(e["src"], e["dst"]) for e in row["b_edges"]]), _links([(e["src"], e["dst"]) for e in row["a_edges"]])
-    tok_b, tok_a = {k: _tokens(n) for k, n in nodes_b.items()}, {k: _tokens(n) for k, n in nodes_a.items()}
-    attack = {k for k, n in nodes_a.items() if n["label"] == 1}
-
-    def process_like(n) -> bool:
-        kind = str(n["type"]).lower()
-        return "process" in kind or "subject" in kind
-
-    if attack:
-        around = {x for a in attack for x in near_a.get(a, ()) if process_like(nodes_a[x])} - attack
-        seeds = (sorted(attack) + sorted(around))[:max_seeds]
-    else:
-        seeds = sorted(k for k, n in nodes_a.items() if process_like(n))[:max_seeds]
-    found = []
-    for seed in seeds:
-        same = [k for k in sorted(nodes_b) if str(nodes_b[k]["type"]).lower() == str(nodes_a[seed]["type"]).lower()]
-        same = same or [k for k in sorted(nodes_b) if process_like(nodes_b[k])]
-        if not same:
-            continue
-        start = max(same, key=lambda u: (_overlap(tok_b[u], tok_a[seed]), [-ord(c) for c in u]))
-        match, queue = {seed: start}, [seed]
-        while queue and len(match) < max_region:
-            here = queue.pop(0)
-            free_b = set(near_b.get(match[here], ())) - set(match.values())
-            ahead = sorted(set(near_a.get(here, ())) - set(match), key=lambda x: (x not in attack, x))
-            for nxt in ahead:
-                if len(match) >= max_region:
-                    break
-                alike = [u for u in free_b if nodes_b[u]["type"] == nodes_a[nxt]["type"]] or list(free_b)
-                if not alike:
-                    continue
-                best = max(sorted(alike), key=lambda u: _overlap(tok_b[u], tok_a[nxt]))
-                match[nxt] = best
-                free_b.discard(best)
-                queue.append(nxt)
-        if len(match) < 2:
-            continue
-        agree = sum(nodes_a[a]["type"] == nodes_b[b]["type"] for a, b in match.items()) / len(match)
-        covered = len(attack & set(match)) / len(attack) if attack else 0.0
-        found.append((2.0 * covered + agree, match))
-    found.sort(key=lambda f: -f[0])
-    rows, taken = [], []
-    for score, match in found:
-        side = set(match.values())
-        if any(len(side & t) > 0.5 * len(side) for t in taken):
-            continue
-        taken.append(side)
-        rows += [(row["pair_id"], len(taken), score, a, b) for a, b in match.items()]
-        if len(taken) >= top_m:
-            break
-    return pd.DataFrame(rows, columns=["pair_id", "rank", "score", "a_node", "b_node"])
-
-
-def pack_egos(egos: DataFrame, nodes: DataFrame, inside: DataFrame, by: list[str] = GRAPH) -> DataFrame:
-    """One row per ego with its nodes and edges nested; egos are size-limited by construction."""
-    facts = nodes.select(*by, F.col("name").alias("node"), "type", "prop", "frequency", "label")
-    rows = egos.join(facts, [*by, "node"])
-    fields = F.struct("hop", F.col("node").alias("name"), "type", "prop", "frequency", "label")
-    packed = rows.groupBy(*by, "center").agg(F.sort_array(F.collect_list(fields)).alias("nodes"))
-    links = inside.groupBy(*by, "center").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "actions_str"))).alias("edges"))
-    return packed.join(links, [*by, "center"], "left")
-
-
-def aligned_regions(pairs: DataFrame, max_region: int = 16, max_seeds: int = 10, top_m: int = 3) -> DataFrame:
-    """Best matching regions per pair (``pair_id, b_nodes, b_edges, a_nodes, a_edges`` nested)."""
-
-    columns = [c.split()[0] for c in REGION_SCHEMA.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            found = (_regions(batch.iloc[[i]], max_region, max_seeds, top_m) for i in range(len(batch)))
-            kept = [f for f in found if len(f)]
-            yield pd.concat(kept, ignore_index=True) if kept else pd.DataFrame(columns=columns)
-
-    filled = pairs.withColumns({c: F.coalesce(c, F.expr("array()").cast(pairs.schema[c].dataType)) for c in ("b_edges", "a_edges")})
-    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
-    slim = filled.select("pair_id", "b_nodes", "b_edges", "a_nodes", "a_edges")
-    return slim.repartition(tasks).mapInPandas(run, REGION_SCHEMA)
-
-
 def replace_nodes(b_nodes: DataFrame, a_nodes: DataFrame, mapping: DataFrame) -> DataFrame:
     """Benign nodes with everything but the name taken from the mapped attack node.
 
@@ -338,36 +230,6 @@ def replace_edges(b_edges: DataFrame, a_edges: DataFrame, mapping: DataFrame) ->
     return kept.unionByName(moved.select("pair_id", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "actions_str"))
 
 
-def adaptive_size(n_attack: Column, cap: int) -> Column:
-    return F.greatest(F.lit(5), F.least(n_attack * 2, F.lit(cap)))
-
-
-def adapt_anchor(pairs: DataFrame, cap: int, least: int = 5) -> DataFrame:
-    """Shrink the benign ego of each pair to the size that suits the attack ego.
-
-    Nested nodes are in (hop, name) order, so the first n nodes are the ego of size n. Anchors with fewer
-    than ``least`` nodes are left out.
-    """
-    n_attack = F.size(F.filter("a_nodes", lambda n: n["label"] == 1))
-    kept = pairs.filter(F.size("b_nodes") >= least).withColumn("b_nodes", F.slice("b_nodes", F.lit(1), adaptive_size(n_attack, cap)))
-    names = kept.withColumn("_names", F.transform("b_nodes", lambda n: n["name"]))
-    inside = lambda e: F.array_contains("_names", e["src"]) & F.array_contains("_names", e["dst"])
-    return names.withColumn("b_edges", F.filter("b_edges", inside)).drop("_names")
-
-
-def first_hard_negative(candidates: DataFrame, by: list[str], order: list[Column], least_attack: int = 2) -> DataFrame:
-    """First candidate per group with at least ``least_attack`` attack nodes."""
-    return top_per_group(candidates.filter(F.col("n_attack") >= least_attack), by, order, 1).drop("rank")
-
-
-def with_fallback(wanted: DataFrame, mined: DataFrame, similar: DataFrame, by: list[str]) -> DataFrame:
-    """The mined pair, else the most similar attack graph: ``pair_id, source``."""
-    best = top_per_group(similar, by, [F.col("rank")], 1, "_r").select(*by, F.col("b").alias("_similar"))
-    joined = wanted.select(*by).distinct().join(mined.select(*by, F.col("pair_id").alias("_mined")), by, "left").join(best, by, "left")
-    source = F.when(F.col("_mined").isNotNull(), "mutated").when(F.col("_similar").isNotNull(), "fallback")
-    return joined.select(*by, F.coalesce("_mined", "_similar").alias("pair_id"), source.alias("source")).filter("source IS NOT NULL")
-
-
 # ---- corpus, tags, substitution -----------------------------------------------------------------------
 def command_words(prop: Column) -> Column:
     """Words of the command line of a process property."""

@@ -425,7 +425,7 @@ def typed_sums(edges: DataFrame, vectors: DataFrame, dim: int, by: list[str] = G
     packed = sums.groupBy(*by, "node").agg(F.map_from_entries(F.collect_list(F.struct("category", "s"))).alias("_m"))
     joined = vectors.select(*by, "name", "vec").join(packed.withColumnRenamed("node", "name"), [*by, "name"], "left")
     zero = X.zeros(dim)
-    parts = [F.coalesce(F.try_element_at("_m", F.lit(c)), zero) for c in V.EDGE_CATEGORIES]
+    parts = [F.coalesce(F.try_element_at("_m", F.lit(c)), zero) for c in sorted(set(V.EDGE_CATEGORIES.values()))]
     return joined.select(*by, "name", F.concat("vec", *parts).alias("vec"))
 
 

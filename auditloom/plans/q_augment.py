@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from auditloom.functions import fixed_values as V
 from auditloom.functions import text as T
 from auditloom.operators import augment, graph, wl
-from auditloom.operators.similarity import top_similar
 from auditloom.plans import q_features as fe
 from auditloom.plans import q_graph as g
 from auditloom.plans import views as v
@@ -226,86 +225,7 @@ def au7_fused_negatives(spark, sf):
     return n.withColumn("kind", F.lit("node")).unionByName(e.withColumn("kind", F.lit("edge")))
 
 
-# ---- structural mutation ------------------------------------------------------------------------
-def packed_egos(spark, sf, cap=16):
-    """Nested egos around benign centers (two per benign snapshot) and around every labelled node."""
-    nodes, edges = cut(v.nodes(spark, sf)), cut(v.edges(spark, sf))
-    marks = nodes.groupBy("snapshot_id").agg(F.max("label").alias("_l"))
-    clean = nodes.join(marks.filter("_l = 0"), "snapshot_id")
-    from auditloom.operators.wl import sample_nodes
-
-    benign = sample_nodes(clean, ["snapshot_id"], 2, seed=5)
-    attack = nodes.filter("label = 1")
-    out = []
-    for centers in (benign, attack):
-        egos = cut(graph.ego(edges, centers.select("snapshot_id", F.col("name").alias("center")), 2, cap))
-        packed = augment.pack_egos(egos, nodes, graph.ego_edges(edges, egos))
-        out.append(cut(packed.withColumn("ego_id", F.concat_ws("/", "snapshot_id", "center"))))
-    return out
-
-
-def ego_wl(packed):
-    """WL vectors of nested egos; the ego id is the graph key."""
-    nodes = packed.select("ego_id", F.inline("nodes"))
-    edges = packed.select("ego_id", F.inline("edges"))
-    start = nodes.select("ego_id", F.col("name").alias("node"), wl.initial_label(F.col("type"), F.col("prop")).alias("label"))
-    hist = wl.wl_histogram(wl.wl_labels(start, edges, 2, ["ego_id"]), ["ego_id"])
-    return wl.as_vectors(hist, F.col("ego_id"))
-
-
-def mined_pairs(spark, sf, k=3):
-    benign, attack = packed_egos(spark, sf)
-    similar = cut(top_similar(ego_wl(benign), ego_wl(attack), k, 0.05))
-    b = benign.select(F.col("ego_id").alias("a"), F.col("nodes").alias("b_nodes"), F.col("edges").alias("b_edges"))
-    a = attack.select(F.col("ego_id").alias("b"), F.col("nodes").alias("a_nodes"), F.col("edges").alias("a_edges"))
-    pairs = similar.join(b, "a").join(a, "b").withColumn("pair_id", F.concat_ws("~", "a", "b"))
-    return similar, cut(augment.adapt_anchor(pairs, 16, least=3))
-
-
-@query("au8_aligned_regions")
-def au8_aligned_regions(spark, sf):
-    _, pairs = mined_pairs(spark, sf)
-    out = augment.aligned_regions(pairs)
-    return out.groupBy("pair_id", "rank").agg(F.count(F.lit(1)).alias("n_matched"), F.round(F.max("score"), 6).alias("score"))
-
-
-def mutated(spark, sf):
-    """First verified region per benign ego: (similar, chosen pairs, nodes, edges)."""
-    similar, pairs = mined_pairs(spark, sf)
-    regions = cut(augment.aligned_regions(pairs))
-    # candidates are regions of pairs: the pair id is extended by the region's rank
-    mapping = regions.withColumn("cand", F.concat_ws("#", "pair_id", "rank")).select(
-        "pair_id", F.col("cand"), "a_node", "b_node", F.col("rank").alias("region")
-    )
-    keys = mapping.select("pair_id", "cand", "region").distinct()
-    b_nodes = keys.join(pairs, "pair_id").select(F.col("cand").alias("pair_id"), F.inline("b_nodes")).drop("hop")
-    a_nodes = keys.join(pairs, "pair_id").select(F.col("cand").alias("pair_id"), F.inline("a_nodes")).drop("hop")
-    b_edges = keys.join(pairs, "pair_id").select(F.col("cand").alias("pair_id"), F.inline("b_edges"))
-    a_edges = keys.join(pairs, "pair_id").select(F.col("cand").alias("pair_id"), F.inline("a_edges"))
-    m = mapping.select(F.col("cand").alias("pair_id"), "a_node", "b_node")
-    nodes = cut(augment.replace_nodes(b_nodes, a_nodes, m))
-    edges = cut(augment.replace_edges(b_edges, a_edges, m))
-    counts = nodes.groupBy("pair_id").agg(F.sum("label").alias("n_attack"))
-    ranks = keys.join(pairs.select("pair_id", "a", "rank"), "pair_id").select(F.col("cand").alias("pair_id"), "a", "rank", "region")
-    chosen = augment.first_hard_negative(counts.join(ranks, "pair_id"), ["a"], [F.col("rank"), F.col("region"), F.col("pair_id")], 1)
-    return similar, cut(chosen.select("a", "pair_id", "n_attack")), nodes, edges
-
-
-@query("au10_hard_negatives")
-def au10_hard_negatives(spark, sf):
-    _, chosen, nodes, edges = mutated(spark, sf)
-    n = nodes.join(chosen.select("pair_id"), "pair_id").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("replaced").alias("n_replaced"))
-    e = edges.join(chosen.select("pair_id"), "pair_id").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_edges"))
-    return chosen.join(n, "pair_id").join(e, "pair_id", "left").select("a", "pair_id", "n_attack", "n_nodes", "n_replaced", "n_edges")
-
-
-@query("au11_snapshot_fallback")
-def au11_snapshot_fallback(spark, sf):
-    similar, chosen, _, _ = mutated(spark, sf)
-    out = augment.with_fallback(similar.select("a"), chosen, similar, ["a"])
-    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
+# ---- region replacement ------------------------------------------------------------------------
 MAP = """sd AS (SELECT snapshot_id, max(label) AS l FROM nodes GROUP BY 1),
 rn AS (SELECT n.snapshot_id, n.name, s.l, row_number() OVER (PARTITION BY n.snapshot_id ORDER BY n.name) AS i FROM nodes n JOIN sd s USING (snapshot_id)
   WHERE n.type = 'SUBJECT_PROCESS'),

@@ -79,7 +79,7 @@ def in2_raw_query(spark, sf):
 
 
 _NAME = NAME_SQL.replace("props", "ap")
-SUBJ_SQL = f"""(CASE WHEN {_NAME} = '' THEN 'process' ELSE {v.case_sql(f'lower({_NAME})', V.inverted(V.PROCESS_ROLES), f"CASE WHEN lower({_NAME}) = {_NAME} THEN 'process' ELSE lower({_NAME}) END")} END)"""
+SUBJ_SQL = f"""(CASE WHEN {_NAME} = '' THEN 'process' ELSE {v.case_sql(f'lower({_NAME})', V.PROCESS_ROLES, f"CASE WHEN lower({_NAME}) = {_NAME} THEN 'process' ELSE lower({_NAME}) END")} END)"""
 _KIND = EXT_SQL.replace("path", "op")
 OBJ_SQL = f"""(CASE WHEN contains(object_type, 'FILE') AND op <> '' THEN CASE WHEN contains(op, '/proc/') THEN 'process information'
   WHEN {_KIND} = '' THEN 'file' ELSE {_KIND} END ELSE {v.case_sql('object_type', V.TYPE_NOUNS, 'object_type')} END)"""

@@ -93,7 +93,7 @@ def sf7_process_name(spark, sf):
     return v.entities(spark, sf).select("uuid", "kind", T.process_name(F.col("props")).alias("name"))
 
 
-ROLES = V.inverted(V.PROCESS_ROLES)
+ROLES = V.PROCESS_ROLES
 
 
 @query(
@@ -109,7 +109,7 @@ def sf8_process_role(spark, sf):
 
 
 MARKERS_SQL = " ".join(f"WHEN contains(path, '{m}') THEN '{k}'" for m, k in V.PATH_MARKERS)
-EXT_SQL = v.case_sql("regexp_extract(path, '\\.[^.]*$')", V.inverted(V.FILE_EXTENSIONS), f"CASE {MARKERS_SQL} ELSE '' END")
+EXT_SQL = v.case_sql("regexp_extract(path, '\\.[^.]*$')", V.FILE_EXTENSIONS, f"CASE {MARKERS_SQL} ELSE '' END")
 
 
 @query(
@@ -125,7 +125,7 @@ def sf9_file_kind(spark, sf):
     "sf10_port_class",
     v.with_ctes(
         v.ENT,
-        f"""SELECT uuid, split_part(props, ',', 2) AS sport, {v.case_sql("split_part(props, ',', 4)", V.inverted(V.PORT_CLASSES), "''")}
+        f"""SELECT uuid, split_part(props, ',', 2) AS sport, {v.case_sql("split_part(props, ',', 4)", V.PORT_CLASSES, "''")}
             AS port_class FROM ent WHERE kind = 'net'""",
     ),
 )

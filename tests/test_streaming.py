@@ -27,34 +27,6 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert got == {0: 1, 60: 2, 61: 1}
 
 
-def test_cache_snapshots_by_hand(spark):
-    rows = [("p1", "f1", 1), ("p1", "f2", 2), ("p2", "f3", 3), ("p2", "f4", 4), ("p3", "f5", 5)]
-    df = events(spark, rows).withColumn("host", F.lit("h"))
-    out = stateful.run_sorted(df, "host", ["ts_us", "event_id"], stateful.cache_step(3, 1.0), stateful.CACHE_SCHEMA).collect()
-    snaps = {}
-    for r in out:
-        if r.kind == "node":
-            snaps.setdefault(r.snapshot_no, {})[r.src] = r.frequency
-    assert snaps[1] == {"p1": 2, "f1": 1, "f2": 1}
-    # six nodes reached at f4: the three oldest (f1, p1, f2) retire
-    assert snaps[2] == {"p2": 2, "f3": 1, "f4": 1}
-    assert set(snaps[3]) == {"p2", "f3", "f4", "p3", "f5"} and len(snaps) == 3
-
-
-def test_cache_is_the_same_in_batches_and_at_once():
-    import pandas as pd
-
-    step = stateful.cache_step(4, 0.5)
-    rows = pd.DataFrame(
-        [(f"p{i % 3}", "SUBJECT_PROCESS", f"f{i}", "FILE", "EVENT_READ", i) for i in range(40)],
-        columns=["actor_id", "actor_type", "object_id", "object_type", "action", "ts_us"],
-    )
-    whole, state = {}, {}
-    at_once = step(whole, rows, True)
-    pieces = [r for i in range(0, 40, 7) for r in step(state, rows.iloc[i : i + 7], False)] + step(state, rows.iloc[0:0], True)
-    assert at_once == pieces
-
-
 def test_decayed_histogram_equals_sum(spark):
     hour = 3_600_000_000
     rows = [(t // hour, "x", t) for t in (0, hour // 2, 3 * hour, 3 * hour + 7)] + [(1, "y", hour)]
