@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import WHITE_SPACE, Memo, byte_slices, texts
+from auditloom.llm.common import LOWER, WHITE_SPACE, Memo, byte_slices, texts
 from auditloom.llm.token_counts import tokenizer
 
 MAGIC = b"PFR1"
@@ -104,14 +104,17 @@ def read_ids(page: bytes, start: int, stop: int) -> np.ndarray:
 def id_memo(path: str) -> Memo:
     """Ids of single words as little-endian bytes."""
     encode = tokenizer(path).encode_batch_fast
-    return Memo(lambda pieces: [struct.pack(f"<{len(e)}I", *e.ids) for e in encode(pieces, add_special_tokens=False)])
+    return Memo(lambda pieces: [struct.pack(f"<{len(e)}I", *e.ids) for e in encode(pieces, add_special_tokens=False)], limit=400_000)
 
 
 def split_words(text: str) -> list[str]:
     """Pieces between white space, and before a mark that ends a sentence or part of one after a letter.
 
-    The tokenizer starts a new token there anyway, and there are far fewer different words without such marks.
+    The tokenizer starts a new token there anyway, and there are far fewer different words without such marks. It also
+    lowers all letters, so A-Z can be lowered before.
     """
+    if "<|" not in text:  # special strings are told from others by case
+        text = text.encode().translate(LOWER).decode()
     return WORD.findall(STOP.sub(r" \1", text))
 
 
