@@ -421,3 +421,22 @@ def test_pipeline(spark, tmp_path):
         assert got[i]["decoded"] == t and got[i]["ids"] == [*library.encode(t), 2]
     assert got[104]["decoded"].strip() == prose(5000, 80)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_dedup", "substring_dedup", "decontamination", "encoding"]
+
+
+def test_array_steps_of_passages():
+    values = np.array([5, 9, 3, 3, 8, 3, 7], np.uint64)
+    l, c, r = passages.compact_windows(values, 3)
+    assert all(r - l + 1 >= 3)
+    rng = np.random.default_rng(4)
+    lo = rng.integers(0, 60, 40)
+    hi, of = lo + rng.integers(0, 20, 40), rng.integers(0, 3, 40)
+    got = {(int(d), i) for d, a, b in zip(*passages.covered_starts(of, lo, hi, 2), strict=True) for i in range(a, b + 1)}
+    assert got == {(d, i) for d in range(3) for i in range(100) if ((of == d) & (lo <= i) & (i <= hi)).sum() >= 2}
+    order, begin, end = passages.joined_ranges((of,), lo, hi + 1)
+    got = {(int(of[order[k]]), i) for k, e in zip(begin, end, strict=True) for i in range(lo[order[k]], e)}
+    assert got == {(int(d), i) for d, a, b in zip(of, lo, hi, strict=True) for i in range(a, b + 1)}
+    own = rng.integers(1, 1 << 32, 300, dtype=np.uint32)
+    other = np.concatenate((own[250:], own[20:120], rng.integers(1, 1 << 32, 50, dtype=np.uint32)))
+    place, first, last, a, b = passages.near_ranges(own, other, np.array([[0], [200], [30], [0], [0], [len(other)]]))
+    assert list(place) == [0] and (a[0], b[0]) == (20, 119 + passages.SIZE)
+    assert first[0] < 20 and last[0] > 120 - passages.WIDTH
