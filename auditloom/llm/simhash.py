@@ -10,16 +10,16 @@ repeated results; rows without doc_id take part but never name a group. No table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import components, cut, texts, words
+from auditloom.llm.common import components, cut, stored, texts, words
 
 SEED = 42
 #: Buckets up to this size are compared pair by pair, larger ones over shared neighbours.
@@ -124,6 +124,7 @@ PARTS = 8  # parts of a document with fingerprints of their own
 #: Odd multipliers that derive further hashes from one.
 MULTIPLIERS = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1 for i in range(WIDE)], np.uint64)
 ALL_PAIRS = 16  # buckets up to this size are compared pair by pair
+LEADERS = 8  # of a larger bucket in the first round after its first members; four times as many in each further one
 
 
 def mixed(hashes: np.ndarray, i: int) -> np.ndarray:
@@ -167,13 +168,45 @@ def jaccard(a: str, b: str, size: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def _linked(large: DataFrame, reach: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``reach`` (``node``, ``component``) closed over the buckets ``large`` (``key``, ``rep``), as if all pairs were compared.
+
+    Each round takes leaders in every bucket whose members still lie in different components and compares them with all
+    members outside their own component, in all such buckets. Members of the largest component lead first: what links
+    many documents is in it. A bucket is closed once the members that have not led are in one component, since any other
+    pair has been compared or is linked. Copies of one text close in the first rounds; a bucket of documents that only
+    share a part costs all its pairs.
+    """
+    led, most = None, LEADERS
+    while True:
+        reach = cut(reach)
+        state = large.join(reach.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("root"))
+        state = state.withColumn("led", F.lit(False)) if led is None else state.join(led.withColumn("_l", F.lit(True)), "rep", "left").select("key", "rep", "root", F.col("_l").isNotNull().alias("led"))
+        still = state.where("NOT led").groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
+        state = stored(state.join(still, "key"), "open-buckets")
+        if state.isEmpty():
+            return reach
+        large = state.select("key", "rep")  # a closed bucket stays closed, as components only grow
+        weights = state.groupBy("key", "root").agg(F.count("*").alias("_w"))
+        order = Window.partitionBy("key").orderBy(F.desc("_w"), "rep")
+        ranked = state.where("NOT led").join(weights, ["key", "root"]).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
+        chosen = cut(ranked.select("rep").distinct())
+        leads = state.join(chosen, "rep").select("key", F.col("rep").alias("u"), F.col("root").alias("_u"))
+        pairs = leads.join(state.where("NOT led"), "key").where(F.col("_u") != F.col("root"))
+        found = similar(pairs.select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct())
+        reach = components(reach.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
+        led = chosen if led is None else cut(led.unionByName(chosen))
+        most *= 4
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id`` and ``component_id`` of every document that shares a group with a smaller or larger doc_id.
 
     Documents with the same words are one class. Class representatives whose covering keys meet are compared: all of
-    them in small buckets; in large ones each with the first member of the bucket and with the first member that
-    agrees on one byte of the wide fingerprint, for every key it has, so the work stays linear in copies. A pair's
-    similarity is first estimated on the wide fingerprint; where the estimate is not clear it is counted exactly.
+    them in small buckets; in large ones each first with the first member of the bucket and with the first member that
+    agrees on one byte of the wide fingerprint, then what is in different groups with further leaders until no pair of
+    a bucket is left open (see ``_linked``). A pair's similarity is first estimated on the wide fingerprint; where the
+    estimate is not clear it is counted exactly.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +243,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
         .distinct()
     )
     wide = reps.select(F.col("rep"), "wide")
-    measured = candidates.join(wide.select(F.col("rep").alias("u"), F.col("wide").alias("_a")), "u").join(
-        wide.select(F.col("rep").alias("v"), F.col("wide").alias("_b")), "v"
-    )
-    apart = sum((F.bit_count(F.get("_a", F.lit(i)).bitwiseXOR(F.get("_b", F.lit(i)))) for i in range(WIDE)), F.lit(0))
     expected = 64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi
     spread = np.sqrt(expected)
-    measured = cut(measured.select("u", "v", apart.alias("apart")).where(F.col("apart") <= float(expected + 4 * spread)))
-    sure = measured.where(F.col("apart") <= float(expected - 4 * spread)).select("u", "v")
-    unsure = measured.where(F.col("apart") > float(expected - 4 * spread)).select("u", "v")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,13 +254,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
 
     # a representative's own row: rows repeated under one doc_id count as the one with the smallest text
     own = plain.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    exact = (
-        unsure.join(own.select(F.col("doc_id").alias("u"), F.col("text").alias("_a")), "u")
-        .join(own.select(F.col("doc_id").alias("v"), F.col("text").alias("_b")), "v")
-        .select("u", "v", "_a", "_b")
-        .mapInArrow(check, "u long, v long")
-    )
-    reach = components(sure.unionByName(exact))
+
+    def similar(candidates: DataFrame) -> DataFrame:
+        measured = candidates.join(wide.select(F.col("rep").alias("u"), F.col("wide").alias("_a")), "u").join(
+            wide.select(F.col("rep").alias("v"), F.col("wide").alias("_b")), "v"
+        )
+        apart = sum((F.bit_count(F.get("_a", F.lit(i)).bitwiseXOR(F.get("_b", F.lit(i)))) for i in range(WIDE)), F.lit(0))
+        measured = cut(measured.select("u", "v", apart.alias("apart")).where(F.col("apart") <= float(expected + 4 * spread)))
+        sure = measured.where(F.col("apart") <= float(expected - 4 * spread)).select("u", "v")
+        unsure = measured.where(F.col("apart") > float(expected - 4 * spread)).select("u", "v")
+        exact = (
+            unsure.join(own.select(F.col("doc_id").alias("u"), F.col("text").alias("_a")), "u")
+            .join(own.select(F.col("doc_id").alias("v"), F.col("text").alias("_b")), "v")
+            .select("u", "v", "_a", "_b")
+            .mapInArrow(check, "u long, v long")
+        )
+        return sure.unionByName(exact)
+
+    reach = _linked(large.select("key", "rep"), components(similar(candidates)), similar)
     named = classes.join(reach.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
     )

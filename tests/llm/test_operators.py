@@ -319,6 +319,24 @@ def test_keep_one(spark, docs, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
+@pytest.mark.parametrize("centre", [150, 299])
+def test_large_bucket_links_a_star(spark, centre):
+    """Copies that resemble one text with a middle or the largest id, but not each other, against all pairs that share a key."""
+    rnd, base = random.Random(8), [f"v{i}" for i in range(154)]
+    rows = []
+    for i in range(300):
+        x = list(base)
+        for at in rnd.sample(range(5, 149), 3 if i != centre else 0):
+            x[at] = f"w{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(x)))
+    found = dict(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    keys = {i: set(simhash.sketch(t, 5)[2]) for i, t in rows}
+    sets = {i: set(simhash.shingle_hashes(words(t), 5).tolist()) for i, t in rows}
+    near = [(a, b) for a, b in itertools.combinations(keys, 2) if keys[a] & keys[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(centre in x for x in near) > 280 and len(near) < 1000
+    assert all(found[a] == found[b] for a, b in near)
+
+
 # ---- 7 --------------------------------------------------------------------------------------------
 def test_toxicity(spark, docs, nothing):
     rnd, rows, labels = random.Random(7), [], []
