@@ -218,6 +218,32 @@ def test_repeated_passages(docs, rows, nothing):
     assert passages.keep_first(nothing).count() == 0
 
 
+def found_words(spark, rows):
+    found = defaultdict(set)
+    for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        found[r["doc_id"]] |= set(range(r["start_word"], r["start_word"] + r["n_words"]))
+    return found
+
+
+def near_starts(a, b):
+    """Starts of b whose run resembles that at the same place of a, by brute force."""
+    tokens = [[tuple(x[k : k + 5]) for k in range(len(x) - 4)] for x in (a, b)]
+    runs = [[set(t[k : k + 46]) for k in range(len(t) - 45)] for t in tokens]
+    return [k for k, (x, y) in enumerate(zip(*runs, strict=True)) if len(x & y) >= 0.8 * len(x | y)]
+
+
+def test_edited_passages_are_found(spark):
+    """Passages of 50 words with one changed word in the middle, at a similarity of exactly 0.8."""
+    rows, n = [], 200
+    for i in range(n):
+        w = prose(3000 + i, 50).split()
+        x = w[:25] + ["changed"] + w[26:]
+        assert near_starts(w, x) == [0]
+        rows += [(i, prose(4000 + i, 30) + " " + " ".join(w)), (1000 + i, prose(5000 + i, 20) + " " + " ".join(x) + " " + prose(6000 + i, 30))]
+    found = found_words(spark, rows)
+    assert sum(set(range(25, 65)) <= found[1000 + i] for i in range(n)) >= 0.97 * n
+
+
 # ---- 5 --------------------------------------------------------------------------------------------
 def test_quality_base_counts(docs, rows, nothing):
     got = {(r["doc_id"], r["n_words"]): r for r in quality.judge(docs).collect()}
