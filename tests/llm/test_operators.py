@@ -244,6 +244,21 @@ def test_edited_passages_are_found(spark):
     assert sum(set(range(25, 65)) <= found[1000 + i] for i in range(n)) >= 0.97 * n
 
 
+def test_drifting_versions_are_found(spark):
+    """B and C differ in a word here and there, the older A, which has most signatures first, in more."""
+    rows, wanted = [], {}
+    for i in range(40):
+        b = prose(7000 + i, 200).split()
+        a = [f"old{i}x{k}" if k % 22 == 10 else w for k, w in enumerate(b)]
+        c = [f"new{i}x{k}" if k % 90 == 45 else w for k, w in enumerate(b)]
+        assert not near_starts(a, b) and not near_starts(a, c)
+        rows += [(i, " ".join(a)), (1000 + i, " ".join(b)), (2000 + i, " ".join(c))]
+        wanted[2000 + i] = near_starts(b, c)
+    found = found_words(spark, rows)
+    hits = [set(range(k + 5, k + 45)) <= found[i] for i, x in wanted.items() for k in x]
+    assert len(hits) > 2000 and sum(hits) >= 0.97 * len(hits)
+
+
 # ---- 5 --------------------------------------------------------------------------------------------
 def test_quality_base_counts(docs, rows, nothing):
     got = {(r["doc_id"], r["n_words"]): r for r in quality.judge(docs).collect()}
