@@ -86,3 +86,56 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length('### : ') + length(role) + length(text) + length(regexp_extract_all(text, '{_CONTROL}'))
     + length(chr(10) || '</turn>' || chr(10)))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id"""
+
+NEGATIVES_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT AS label,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_sum(list_transform(list_zip(a.q, v.q), lambda x: x[1] * x[2]))::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id AND len(a.q) = len(v.q)),
+near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id,
+  positive_score, score AS negative_score
+FROM near JOIN scored USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+
+def _tree_sql(name: str, nodes: str) -> str:
+    """CTEs of ternary trees over ``nodes`` (tree, i, node): <name> (all nodes by level, n of the level) and <name>_side."""
+    return f"""{name} AS (SELECT tree, 0 AS lvl, i, node, count(*) OVER (PARTITION BY tree) AS n FROM {nodes}
+  UNION ALL SELECT tree, lvl + 1, i // 3, sha256(string_agg(node, '' ORDER BY i)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, lvl, i // 3, n),
+{name}_side AS (SELECT t.tree, t.lvl, t.i, coalesce(string_agg(o.node, '' ORDER BY o.i) FILTER (o.i < t.i), '') AS l,
+    coalesce(string_agg(o.node, '' ORDER BY o.i) FILTER (o.i > t.i), '') AS r
+  FROM {name} t JOIN {name} o ON t.tree IS NOT DISTINCT FROM o.tree AND t.lvl = o.lvl AND t.i // 3 = o.i // 3 WHERE t.n > 1 GROUP BY 1, 2, 3)"""
+
+
+def _walk_sql(name: str, start: str, tree: str) -> str:
+    """CTE <name>: from ``start`` (uid, tree, i, own, proof) upwards, level by level."""
+    return f"""{name} AS (SELECT uid, tree, 0 AS lvl, i, own, proof FROM {start}
+  UNION ALL SELECT uid, w.tree, w.lvl + 1, w.i // 3, sha256(l || own || r), proof || l || r
+  FROM {name} w JOIN {tree}_side s ON s.tree IS NOT DISTINCT FROM w.tree AND s.lvl = w.lvl AND s.i = w.i)"""
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_CRC32 = """list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+MANIFEST_SQL = f"""WITH RECURSIVE found AS (SELECT *, CASE WHEN xor({_CRC32}, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS later FROM documents),
+rows AS (SELECT doc_id, source AS tree, {_leaf_sql("text")} AS node, {_leaf_sql("later")} AS own FROM found),
+leaves AS (SELECT *, '' AS proof, row_number() OVER () AS uid,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node, own) - 1 AS i FROM rows),
+{_tree_sql("low", "leaves")},
+subs AS (SELECT tree AS source, node AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i FROM low WHERE n = 1),
+tops AS (SELECT 'top' AS tree, i, subroot AS node FROM subs),
+{_tree_sql("high", "tops")},
+{_walk_sql("climb", "leaves", "low")},
+upper_start AS (SELECT uid, 'top' AS tree, s.i, own, proof, subroot FROM climb c JOIN subs s ON s.source IS NOT DISTINCT FROM c.tree
+  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY lvl DESC) = 1),
+{_walk_sql("summit", "upper_start", "high")},
+ends AS (SELECT * FROM summit QUALIFY row_number() OVER (PARTITION BY uid ORDER BY lvl DESC) = 1)
+SELECT doc_id, l.node AS leaf, subroot, t.node AS root, sha256(e.proof) AS proof_sha256, e.own AS folded_root, e.own = t.node AS verified
+FROM leaves l JOIN ends e USING (uid) JOIN upper_start u USING (uid) CROSS JOIN (SELECT node FROM high WHERE n = 1) t"""

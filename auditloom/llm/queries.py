@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import chat, decontam, lm, passages, pieces, quality, simhash, token_counts, token_files, toxicity
+from auditloom.llm import byte_pairs, chat, decontam, lm, manifest, negatives, passages, pieces, quality, simhash, token_counts, token_files, toxicity
 from auditloom.llm.common import table
-from auditloom.llm.oracles import CHAT_SQL, QUALITY_SQL
+from auditloom.llm.oracles import CHAT_SQL, MANIFEST_SQL, NEGATIVES_SQL, QUALITY_SQL
 from auditloom.plans.registry import query
 from auditloom.session import scratch_path, ship_package
 
@@ -77,3 +77,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.format_turns(rows))
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.usable(table(spark, sf_dir, "embeddings"), label), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir), manifest.without_line_feeds())
