@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField,
 from auditloom.functions import fixed_values as V
 from auditloom.functions import text as T
 from auditloom.operators.ranking import salted_join, top_per_group
-from auditloom.operators.similarity import score_pairs, similar_pairs
+from auditloom.operators.similarity import normalised, top_similar
 from auditloom.session import cut
 
 UNKNOWN = "UNKNOWN"
@@ -117,19 +117,21 @@ def operational_triples(triples: DataFrame) -> DataFrame:
 
 
 # ---- matching -------------------------------------------------------------------------------------
-def hybrid(queries: DataFrame, main: DataFrame, aux: DataFrame, aux_queries: DataFrame, weight: float, floor: float):
-    """(1 - weight) * main + weight * aux cosine of all pairs whose mixture reaches the floor.
+def hybrid(queries: DataFrame, main: DataFrame, aux: DataFrame, aux_queries: DataFrame, weight: float, k: int) -> DataFrame:
+    """Top ``k`` per query by (1 - weight) * main + weight * aux cosine: ``a, b, sim, rank``.
 
-    A mixture can only reach the floor when one of its parts does, so the candidates are the pairs found in
-    either library; both parts are then scored in full. A technique missing in one library counts as 0 there.
+    The mixture is one inner product of vectors that hold both parts side by side, so it is searched like a single
+    library. A technique missing in one library counts as 0 there.
     """
-    found = similar_pairs(queries, main, floor).unionByName(similar_pairs(aux_queries, aux, floor))
-    pairs = cut(found.select("a", "b").distinct())
-    first = score_pairs(queries, main, pairs).withColumnRenamed("sim", "_m")
-    second = score_pairs(aux_queries, aux, pairs).withColumnRenamed("sim", "_x")
-    sim = (1 - weight) * F.col("_m") + weight * F.col("_x")
-    joined = first.join(second, ["a", "b"])
-    return joined.select("a", "b", sim.alias("sim")).filter(F.col("sim") >= floor - 1e-9)
+
+    def both(first: DataFrame, second: DataFrame, shares: tuple[float, float]) -> DataFrame:
+        parts = [
+            normalised(v).select("id", F.concat(F.lit(f"{name}:"), "feature").alias("feature"), (F.col("weight") * share).alias("weight"))
+            for name, v, share in zip(("main", "aux"), (first, second), shares, strict=True)
+        ]
+        return parts[0].unionByName(parts[1])
+
+    return top_similar(both(queries, aux_queries, (1 - weight, weight)), both(main, aux, (1.0, 1.0)), k, unit=False)
 
 
 def best_codes(queries: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
@@ -168,12 +170,6 @@ def score_gap(top: DataFrame) -> DataFrame:
     return two.withColumn("gap", F.col("first") - F.coalesce("second", F.lit(0.0)))
 
 
-def expected_rank(scores: DataFrame, expected: DataFrame) -> DataFrame:
-    """1 + number of better-scored techniques for each expected (query, technique)."""
-    ranked = scores.withColumn("rank", F.rank().over(W.partitionBy("a").orderBy(F.desc(F.round("sim", 9)))))
-    return ranked.join(expected.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.col("rank").cast("bigint").alias("rank"))
-
-
 # ---- sequence alignment -----------------------------------------------------------------------------
 LCS_TYPE = StructType([StructField("length", IntegerType()), StructField("mask", ArrayType(BooleanType()))])
 

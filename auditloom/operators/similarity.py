@@ -1,119 +1,226 @@
-"""Exact cosine joins on sparse vectors ``id, feature, weight``.
+"""Exact top-k search and threshold joins on sparse vectors ``id, feature, weight`` with weights of at least 0.
 
-Vectors that are equal are joined once. Of each vector only a prefix is put in the index: features are
-ordered from rare to common, and the common rest is left out from where its norm drops below a quarter of
-the floor. What two vectors share outside both prefixes then adds less than that quarter to their cosine, so
-a pair can only reach the floor when its prefixes alone give the other three. The most common features stay
-out of the join, no pair above the floor is missed, and the few pairs left are scored with their full vectors.
+Vectors that are equal are searched once. Posting lists hold the weights of the searched side in blocks
+of like weights; a block knows its largest weight. A search without a floor works in three steps:
+
+1. Seeds: the best entries in the lists of the rarest features of each query give partial scores. The k best seeds are scored
+   in full; the lowest of these scores is a lower bound of the query's k-th best score and becomes its threshold.
+2. Candidates: with the features of a query in order of frequency, the common rest is left out from where all of it together
+   can add less than the threshold. Of the other lists only blocks are opened whose best entry, with everything that the
+   other features can add, reaches the threshold. So the long lists of common features are skipped where they cannot matter.
+3. Scores: the k-th best sum raises the threshold again, and the features left out are added for what still reaches it.
+
+No floor is needed and no pair of a result is missed. A given floor takes the place of the threshold in a threshold join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.operators.ranking import top_per_group
 from auditloom.session import cut
 
+BLOCK = 64  # postings of a block
+SHORT = 1024  # queries with fewer than SHORT * k entries in all their lists are scored against all of these
+OWN = 32  # entries of a candidate's own vector, for the choice of lists to leave out
+SEEDS = 4  # seeds are looked for in lists of up to SEEDS * k entries together
+MARGIN = 2e-9  # scores are compared after rounding to 9 places
 
-def normalised(vectors: DataFrame) -> DataFrame:
-    """Unit-length vectors; zero weights are dropped."""
-    kept = vectors.filter(F.col("weight") != 0)
-    norms = kept.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_n"))
-    return kept.join(norms, "id").select("id", "feature", (F.col("weight") / F.col("_n")).alias("weight"))
 
+# ---- vectors --------------------------------------------------------------------------------------
+def _packed(vectors: DataFrame) -> DataFrame:
+    """``id, v``: the entries of each vector, zero weights left out, in order of their features."""
+    kept = vectors.filter(F.col("weight") != 0)
+    entry = F.struct("feature", F.col("weight").cast("double").alias("weight"))
+    return kept.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("v"))
 
-def signatures(vectors: DataFrame) -> DataFrame:
-    """``id, sig``: equal vectors share a signature (order-free sums over their entries)."""
-    from auditloom.functions.hashing import multiset_sums
 
-    entry = F.concat_ws("=", F.col("feature"), F.round("weight", 9).cast("string"))
-    sums = vectors.groupBy("id").agg(multiset_sums(entry).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    return sums.select("id", F.md5(F.concat_ws("|", "_m", F.col("_n").cast("string"))).alias("sig"))
+def _norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
 
 
-def _distinct_vectors(unit: DataFrame, sigs: DataFrame) -> DataFrame:
-    """One vector per signature."""
-    first = sigs.groupBy("sig").agg(F.min("id").alias("id"))
-    return unit.join(first, "id").select(F.col("sig").alias("id"), "feature", "weight")
+def normalised(vectors: DataFrame) -> DataFrame:
+    """Unit-length vectors; zero weights are dropped."""
+    packed = _packed(vectors).withColumn("_n", _norm(F.col("v")))
+    return packed.select("id", "_n", F.inline("v")).select("id", "feature", (F.col("weight") / F.col("_n")).alias("weight"))
 
 
-def _prefix(unit: DataFrame, frequency: DataFrame, rest_norm: float) -> DataFrame:
-    """Entries before the point where the norm of the remaining, more common entries drops below ``rest_norm``."""
-    ranked = unit.join(frequency, "feature")
-    tail = W.partitionBy("id").orderBy(F.desc("_df"), F.desc("feature"))
-    rest = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(tail.rowsBetween(W.unboundedPreceding, 0)))
-    return ranked.withColumn("_rest", rest).filter(F.col("_rest") >= F.lit(rest_norm)).select("id", "feature", "weight")
+def _classes(vectors: DataFrame, unit: bool) -> tuple[DataFrame, DataFrame]:
+    """(``id, sig`` of every vector, ``sig, feature, weight`` of every distinct one)."""
+    packed = _packed(vectors)
+    sig = F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "v")), F.lit("-"), F.size("v").cast("string"))
+    packed = cut(packed.withColumn("sig", sig))
+    one = packed.groupBy("sig").agg(F.min_by("v", "id").alias("v")).withColumn("_n", _norm(F.col("v")) if unit else F.lit(1.0))
+    entries = one.select("sig", "_n", F.inline("v")).select("sig", "feature", (F.col("weight") / F.col("_n")).alias("weight"))
+    return packed.select("id", "sig"), cut(entries)
 
 
-def _candidates(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
-    seen = left.select("id", "feature").unionByName(right.select("id", "feature"))
-    frequency = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("_df"))
-    rest = min_sim / 4
-    a = _prefix(left, frequency, rest).select(F.col("id").alias("a"), "feature", F.col("weight").alias("_wa"))
-    b = _prefix(right, frequency, rest).select(F.col("id").alias("b"), "feature", F.col("weight").alias("_wb"))
-    partial = a.join(b, "feature").groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_p"))
-    return partial.filter(F.col("_p") >= F.lit(min_sim - rest - 1e-9)).select("a", "b")
+# ---- search ---------------------------------------------------------------------------------------
+def _postings(right: DataFrame) -> DataFrame:
+    """``feature, b, wl``: the posting lists."""
+    return right.select("feature", F.col("sig").alias("b"), F.col("weight").alias("wl"))
 
 
-def _dots(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, dot`` of the pairs that share a feature; the side with the shorter vectors is expanded."""
-    shorter_right = _mean_size(right) <= _mean_size(left)
-    a = left.select(F.col("id").alias("a"), "feature", F.col("weight").alias("_wa"))
-    b = right.select(F.col("id").alias("b"), "feature", F.col("weight").alias("_wb"))
-    joined = pairs.join(b, "b").join(a, ["a", "feature"]) if shorter_right else pairs.join(a, "a").join(b, ["b", "feature"])
-    return joined.groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("dot"))
+def _blocks(postings: DataFrame) -> DataFrame:
+    """``feature, top, items``: the lists in blocks of about BLOCK entries of like weight; ``top`` is the largest of a block.
 
+    A list is cut by weight and, as far as it is long, by salt, so that no list is sorted or gathered in one place.
+    """
+    sizes = postings.groupBy("feature").agg(F.count(F.lit(1)).alias("_df"))
+    level = F.floor(F.log2("wl") * 4).cast("int")
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("_df") / BLOCK))
+    rows = postings.join(sizes, "feature").select("feature", level.alias("_level"), salt.alias("_salt"), "b", "wl")
+    return rows.groupBy("feature", "_level", "_salt").agg(F.max("wl").alias("top"), F.collect_list(F.struct("b", "wl")).alias("items"))
+
+
+def _listed(left: DataFrame, postings: DataFrame) -> DataFrame:
+    """Entries of the queries whose feature has a list, with the length of the list and its largest weight, and the length of
+    all lists of the query together (``work``): ``a, feature, wq, df, top, work``."""
+    stats = postings.groupBy("feature").agg(F.count(F.lit(1)).alias("df"), F.max("wl").alias("top"))
+    rows = left.join(stats, "feature").select(F.col("sig").alias("a"), "feature", F.col("weight").alias("wq"), "df", "top")
+    return rows.withColumn("work", F.sum("df").over(W.partitionBy("a")))
+
+
+def _bounded(listed: DataFrame, postings: DataFrame) -> DataFrame:
+    """``a, feature, wq`` with what all other features of the query can add (``others``), what it and all more frequent ones
+    can (``rest``), the entries in the lists of rarer ones (``seen``) and those in its own (``df``)."""
+    longest = postings.groupBy("b").agg(F.sum(F.col("wl") * F.col("wl")).alias("_n")).agg(F.sqrt(F.max("_n"))).scalar()
+    rows = listed.withColumn("ub", F.col("wq") * F.col("top"))
+    common_first = W.partitionBy("a").orderBy(F.desc("df"), "feature").rowsBetween(W.unboundedPreceding, W.currentRow)
+    by_sum = F.sum("ub").over(common_first)
+    by_norm = F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(common_first)) * F.coalesce(longest, F.lit(0.0))
+    return rows.select(
+        "a", "feature", "wq", "df",
+        (F.sum("ub").over(W.partitionBy("a")) - F.col("ub")).alias("others"),
+        F.least(by_sum, by_norm).alias("rest"),
+        (F.col("work") - F.sum("df").over(common_first)).alias("seen"),
+    )
+
+
+def _threshold(entries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """``a, tau``: the lowest whole score among the k best seeds; queries without k seeds have none."""
+    seeds = entries.filter(F.col("seen") < SEEDS * k).select("a", "feature", "wq")
+    heads = top_per_group(postings, ["feature"], [F.desc("wl"), F.col("b")], SEEDS * k, "_r").drop("_r")
+    partial = seeds.join(heads, "feature").groupBy("a", "b").agg(F.sum(F.col("wq") * F.col("wl")).alias("_p"))
+    best = top_per_group(partial, ["a"], [F.desc("_p"), F.col("b")], k, "_r").select("a", "b")
+    scored = best.join(postings, "b").join(entries.select("a", "feature", "wq"), ["a", "feature"]).groupBy("a", "b").agg(F.sum(F.col("wq") * F.col("wl")).alias("_s"))
+    return scored.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), F.min("_s").alias("tau")).filter(F.col("_n") == k).select("a", "tau")
+
+
+def _search(entries: DataFrame, postings: DataFrame, tau: DataFrame, k: int | None = None) -> DataFrame:
+    """``a, b, sim`` of all pairs that reach the threshold of ``a``; with ``k`` of those only that can be in a top k."""
+    known = entries.join(tau, "a", "left").withColumn("tau", F.coalesce("tau", F.lit(0.0)))
+    below = F.col("rest") < F.col("tau") - MARGIN
+    # leaving lists out pays where they are longer than what the candidates' own vectors cost afterwards
+    spared = F.sum(F.when(below, F.col("df")).otherwise(F.lit(0))).over(W.partitionBy("a"))
+    opened_ = F.sum(F.when(below, F.lit(0)).otherwise(F.col("df"))).over(W.partitionBy("a"))
+    known = cut(known.withColumn("left_out", below & (spared > OWN * opened_)))
+    left_out = F.col("left_out")
+    kept = known.filter(~left_out).select("a", "feature", "wq", "others", "tau")
+    opened = kept.join(_blocks(postings), "feature").filter(F.col("wq") * F.col("top") + F.col("others") >= F.col("tau") - MARGIN)
+    sums = opened.select("a", "wq", F.inline("items")).groupBy("a", "b").agg(F.sum(F.col("wq") * F.col("wl")).alias("_p"))
+    missing = known.filter(left_out).groupBy("a").agg(F.max("rest").alias("missing"))
+    sums = sums.join(tau, "a", "left").join(missing, "a", "left")
+    can_reach = F.col("_p") + F.coalesce("missing", F.lit(0.0)) >= F.coalesce("tau", F.lit(0.0)) - MARGIN
+    sums = cut(sums.filter(can_reach).drop("tau"))
+    if k is not None:
+        best = top_per_group(sums, ["a"], [F.desc("_p"), F.col("b")], k, "_r").filter(F.col("_r") == k)
+        sums = sums.join(best.select("a", F.col("_p").alias("tau")), "a", "left").filter(can_reach).drop("tau")
+    dropped = known.filter(left_out).select("a", "feature", "wq")
+    open_pairs = sums.filter(F.col("missing").isNotNull()).select("a", "b")
+    more = open_pairs.join(postings.select("b", "feature", "wl"), "b").join(dropped, ["a", "feature"])
+    more = more.groupBy("a", "b").agg(F.sum(F.col("wq") * F.col("wl")).alias("_m"))
+    total = F.col("_p") + F.coalesce("_m", F.lit(0.0))
+    return sums.join(more, ["a", "b"], "left").select("a", "b", total.alias("sim"))
+
+
+def _top(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """``a, b, sim`` over distinct vectors: at least the top k of every query among what shares a feature with it.
+
+    Queries whose lists are short altogether need no threshold.
+    """
+    postings = cut(_postings(right))
+    listed = cut(_listed(left, postings))
+    short = F.col("work") <= SHORT * k
+    plain = listed.filter(short).join(postings, "feature").groupBy("a", "b").agg(F.sum(F.col("wq") * F.col("wl")).alias("sim"))
+    long = listed.filter(~short)
+    if long.isEmpty():
+        return plain
+    entries = cut(_bounded(long, postings))
+    return plain.unionByName(_search(entries, postings, cut(_threshold(entries, postings, k)), k))
+
+
+def top_similar(left: DataFrame, right: DataFrame, k: int, unit: bool = True) -> DataFrame:
+    """Top ``k`` right ids per left id by (similarity rounded to 9 places, id): ``a, b, sim, rank``.
 
-def _mean_size(vectors: DataFrame) -> float:
-    row = vectors.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("m")).first()
-    return row["m"] or 0.0
+    Every left id that has an entry gets k rows, or as many as there are right ids; what shares nothing has similarity 0 and
+    follows in order of id. ``unit``: cosine; otherwise plain inner products. Of right vectors that are equal only the ``k``
+    smallest ids can be in a top k, and the ranking is done once per distinct left vector, so a huge group of copies costs k
+    rows and not its square.
+    """
+    (ids_a, va), (ids_b, vb) = _classes(left, unit), _classes(right, unit)
+    few = top_per_group(ids_b, ["sig"], [F.col("id")], k, "_r").select(F.col("id").alias("_ib"), F.col("sig").alias("b"))
+    order = [F.desc(F.round("sim", 9)), F.col("_ib")]
+    ranked = top_per_group(_top(va, vb, k).join(few, "b"), ["a"], order, k).select("a", "_ib", "sim", "rank")
+    ranked = cut(ranked)
+    # at most k of the first 2 k ids share a feature with a query that has fewer than k matches
+    first = [r["id"] for r in ids_b.select("id").orderBy("id").limit(2 * k).collect()]
+    if first:
+        found = ranked.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), F.collect_list("_ib").alias("_have"))
+        short = ids_a.select(F.col("sig").alias("a")).distinct().join(found, "a", "left").filter(F.coalesce("_n", F.lit(0)) < k)
+        kind = f"array<{ids_b.schema['id'].dataType.simpleString()}>"
+        spare = F.array_except(F.array(*[F.lit(i) for i in first]).cast(kind), F.coalesce("_have", F.array().cast(kind)))
+        spare = F.slice(spare, F.lit(1), k - F.coalesce("_n", F.lit(0)).cast("int"))
+        filled = short.select("a", F.coalesce("_n", F.lit(0)).cast("int").alias("_n"), F.posexplode(spare).alias("_p", "_ib"))
+        ranked = ranked.unionByName(filled.select("a", "_ib", F.lit(0.0).alias("sim"), (F.col("_n") + F.col("_p") + 1).alias("rank")))
+    owners = ids_a.select(F.col("id").alias("_ia"), F.col("sig").alias("a"))
+    return ranked.join(owners, "a").select(F.col("_ia").alias("a"), F.col("_ib").alias("b"), "sim", "rank")
 
 
-def _scored(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
-    """``a, b, sim`` for all pairs with sim >= min_sim; inputs are unit vectors."""
-    pairs = cut(_candidates(left, right, min_sim))
-    dots = _dots(left, right, pairs)
-    return dots.select("a", "b", F.col("dot").alias("sim")).filter(F.col("sim") >= F.lit(min_sim - 1e-9))
+def similar_pairs(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
+    """All pairs of ids that share a feature and have a cosine of at least ``min_sim``, which may be 0: ``a, b, sim``."""
+    (ids_a, va), (ids_b, vb) = _classes(left, True), _classes(right, True)
+    postings = cut(_postings(vb))
+    entries = cut(_bounded(_listed(va, postings), postings))
+    floor = entries.select("a").distinct().withColumn("tau", F.lit(float(min_sim)))
+    pairs = _search(entries, postings, floor).filter(F.col("sim") >= F.lit(min_sim - 1e-9))
+    return pairs.join(ids_a.select(F.col("id").alias("_ia"), F.col("sig").alias("a")), "a").join(
+        ids_b.select(F.col("id").alias("_ib"), F.col("sig").alias("b")), "b"
+    ).select(F.col("_ia").alias("a"), F.col("_ib").alias("b"), "sim")
 
 
 def score_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     """Cosine of given pairs ``a, b``; 0 when a vector is missing or nothing is shared."""
     wanted = pairs.select("a", "b").distinct()
-    dots = _dots(cut(normalised(left)), cut(normalised(right)), wanted)
+    a = normalised(left).select(F.col("id").alias("a"), "feature", F.col("weight").alias("_wa"))
+    b = normalised(right).select(F.col("id").alias("b"), "feature", F.col("weight").alias("_wb"))
+    dots = wanted.join(b, "b").join(a, ["a", "feature"]).groupBy("a", "b").agg(F.sum(F.col("_wa") * F.col("_wb")).alias("dot"))
     return wanted.join(dots, ["a", "b"], "left").select("a", "b", F.coalesce("dot", F.lit(0.0)).alias("sim"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:
-    """All pairs of ids with cosine of at least ``min_sim`` (> 0)."""
-    a, b, pairs = _signature_pairs(left, right, min_sim)
-    return pairs.join(a.withColumnRenamed("id", "_ia"), pairs["a"] == a["sig"]).join(
-        b.withColumnRenamed("id", "_ib"), pairs["b"] == b["sig"]
-    ).select(F.col("_ia").alias("a"), F.col("_ib").alias("b"), "sim")
-
-
-def _signature_pairs(left: DataFrame, right: DataFrame, min_sim: float):
-    if min_sim <= 0:
-        raise ValueError("the similarity floor must be positive")
-    ua, ub = cut(normalised(left)), cut(normalised(right))
-    sa, sb = cut(signatures(ua)), cut(signatures(ub))
-    da, db = cut(_distinct_vectors(ua, sa)), cut(_distinct_vectors(ub, sb))
-    return sa, sb, cut(_scored(da, db, min_sim))
-
-
-def top_similar(left: DataFrame, right: DataFrame, k: int, min_sim: float) -> DataFrame:
-    """Top ``k`` right ids per left id by (similarity rounded to 9 places, id): ``a, b, sim, rank``.
+def ranks_of(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``a, b, rank``: 1 + the number of right ids that are more similar to ``a`` than ``b`` is, by 9 places.
 
-    Of right vectors that are equal only the ``k`` smallest ids can be in a top k, and the ranking is done
-    once per distinct left vector, so a huge group of copies costs k rows and not its square.
+    The lowest score asked for is the threshold of a query, so only what scores higher is worked out.
     """
-    sa, sb, pairs = _signature_pairs(left, right, min_sim)
-    few = top_per_group(sb, ["sig"], [F.col("id")], k, "_r").select(F.col("id").alias("_ib"), F.col("sig").alias("b"))
-    ranked = top_per_group(pairs.join(few, "b"), ["a"], [F.desc(F.round("sim", 9)), F.col("_ib")], k)
-    ranked = ranked.select("a", F.col("_ib").alias("b"), "sim", "rank")
-    owners = sa.select(F.col("id").alias("_ia"), F.col("sig").alias("a"))
-    return ranked.join(owners, "a").select(F.col("_ia").alias("a"), "b", "sim", "rank")
+    scored = cut(score_pairs(left, right, pairs))
+    (ids_a, va), (ids_b, vb) = _classes(left, True), _classes(right, True)
+    postings = cut(_postings(vb))
+    entries = cut(_bounded(_listed(va, postings), postings))
+    floors = scored.join(ids_a.withColumnRenamed("id", "a"), "a").groupBy(F.col("sig").alias("a")).agg(F.min("sim").alias("tau"))
+    asked = entries.join(floors.select("a"), "a", "left_semi")
+    copies = ids_b.groupBy(F.col("sig").alias("b")).agg(F.count(F.lit(1)).alias("_c"))
+    better = _search(asked, postings, floors).join(copies, "b").groupBy("a", F.round("sim", 9).alias("_s")).agg(F.sum("_c").alias("_c"))
+    # positions among the distinct scores of a query, then the scores asked for
+    above = F.sum("_c").over(W.partitionBy("a").orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    levels = better.withColumn("_upto", above).select("a", "_s", (F.col("_upto") - F.col("_c")).alias("_above"), "_upto")
+    wanted = scored.join(ids_a.select(F.col("id").alias("a"), "sig"), "a").select("a", "b", "sig", F.round("sim", 9).alias("_s"))
+    last = levels.filter("_s > 0").groupBy("a").agg(F.max("_upto").alias("_all"))
+    hit = wanted.join(levels.select(F.col("a").alias("sig"), "_s", "_above"), ["sig", "_s"], "left").join(last.withColumnRenamed("a", "sig"), "sig", "left")
+    found = F.when(F.col("_s") > 0, F.col("_above")).otherwise(F.col("_all"))
+    return hit.select("a", "b", (F.coalesce(found, F.lit(0)) + 1).cast("bigint").alias("rank"))
 
 
 # ---- text vectors -------------------------------------------------------------------------------

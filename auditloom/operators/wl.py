@@ -92,9 +92,9 @@ def wl_kernel(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.select("a", "b", sim.alias("sim"))
 
 
-def most_similar(left: DataFrame, right: DataFrame, k: int, min_sim: float) -> DataFrame:
-    """Top ``k`` right graphs per left graph among those with a kernel of at least ``min_sim``."""
-    return top_similar(left, right, k, min_sim)
+def most_similar(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """Top ``k`` right graphs per left graph by the kernel."""
+    return top_similar(left, right, k)
 
 
 def pairs_above(left: DataFrame, right: DataFrame, min_sim: float) -> DataFrame:

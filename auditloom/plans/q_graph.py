@@ -442,6 +442,10 @@ def benign_attack(spark, sf):
     return wl.as_vectors(ben, F.col("snapshot_id")), wl.as_vectors(att, F.col("snapshot_id"))
 
 
+ALL_SIMS = """al AS (SELECT a, b, coalesce(sim, 0) AS sim FROM (SELECT DISTINCT snapshot_id AS a FROM ben) CROSS JOIN (SELECT DISTINCT snapshot_id AS b FROM att)
+  LEFT JOIN sims USING (a, b))"""
+
+
 @query(
     "gr19_wl_topk",
     v.with_ctes(
@@ -452,13 +456,14 @@ def benign_attack(spark, sf):
         SIDES,
         """sims AS (SELECT a.snapshot_id AS a, b.snapshot_id AS b, sum(a.cnt * b.cnt) / (max(a.n) * max(b.n)) AS sim FROM ben a
              JOIN att b ON a.iter = b.iter AND a.label = b.label GROUP BY 1, 2)""",
+        ALL_SIMS,
         """SELECT a, b, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b)::INT AS rank
-             FROM sims WHERE sim >= 0.3) WHERE rank <= 5""",
+             FROM al) WHERE rank <= 5""",
     ),
 )
 def gr19_wl_topk(spark, sf):
     ben, att = benign_attack(spark, sf)
-    return wl.most_similar(ben, att, 5, 0.3).withColumn("sim", F.round("sim", 6))
+    return wl.most_similar(ben, att, 5).withColumn("sim", F.round("sim", 6))
 
 
 @query(
@@ -469,13 +474,17 @@ def gr19_wl_topk(spark, sf):
         HIST,
         NORMS,
         SIDES,
-        """SELECT a.snapshot_id AS a, b.snapshot_id AS b, round(sum(a.cnt * b.cnt) / (max(a.n) * max(b.n)), 6) AS sim FROM ben a
-           JOIN att b ON a.iter = b.iter AND a.label = b.label GROUP BY 1, 2 HAVING sum(a.cnt * b.cnt) / (max(a.n) * max(b.n)) >= 0.35""",
+        """sims AS (SELECT a.snapshot_id AS a, b.snapshot_id AS b, sum(a.cnt * b.cnt) / (max(a.n) * max(b.n)) AS sim FROM ben a
+             JOIN att b ON a.iter = b.iter AND a.label = b.label GROUP BY 1, 2)""",
+        ALL_SIMS,
+        """SELECT a, b, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b)::INT AS rank
+             FROM al) WHERE rank <= 20""",
     ),
 )
 def jn6_similarity_join(spark, sf):
+    """For every benign snapshot its 20 most similar attack snapshots."""
     ben, att = benign_attack(spark, sf)
-    return wl.pairs_above(ben, att, 0.35).withColumn("sim", F.round("sim", 6))
+    return wl.most_similar(ben, att, 20).withColumn("sim", F.round("sim", 6))
 
 
 RSG = wl_sql("SELECT snapshot_id, name AS node, name AS label FROM nodes")

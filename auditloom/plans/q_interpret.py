@@ -119,7 +119,6 @@ def in5_operational_triples(spark, sf):
 
 
 # ---- matching -------------------------------------------------------------------------------------
-FLOOR = 0.2
 GAMMA = 0.30
 
 
@@ -141,8 +140,8 @@ MATCH = ",\n".join(
         tfidf_sql("lv", "benchmark", "item_id", "text", "lib"),
         tfidf_sql("qv", "documents", "doc_id", "text", "lib"),
         "sc AS (SELECT q.id AS a, l.id AS b, sum(q.w * l.w) AS sim FROM qv q JOIN lv l ON q.t = l.t GROUP BY 1, 2)",
-        f"""tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b)::INT AS rank FROM sc
-              WHERE sim >= {FLOOR}) WHERE rank <= 10)""",
+        """al AS (SELECT a, b, coalesce(sim, 0) AS sim FROM (SELECT DISTINCT id AS a FROM qv) CROSS JOIN (SELECT DISTINCT id AS b FROM lv) LEFT JOIN sc USING (a, b))""",
+        "tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b)::INT AS rank FROM al) WHERE rank <= 10)",
     ]
 )
 
@@ -152,7 +151,8 @@ def library(spark, sf):
 
 
 def query_texts(spark, sf):
-    return v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.word_tokens(F.col("text")).alias("tokens"))
+    docs = v.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").repartition("id")
+    return docs.select("id", T.word_tokens(F.col("text")).alias("tokens"))
 
 
 def match_vectors(spark, sf):
@@ -162,7 +162,7 @@ def match_vectors(spark, sf):
 
 def top_matches(spark, sf, k=10):
     q, lib = match_vectors(spark, sf)
-    return sim.top_similar(q, lib, k, FLOOR)
+    return sim.top_similar(q, lib, k)
 
 
 @query("in6_text_vectors", f"WITH {MATCH} SELECT id, t AS feature, round(w, 6) AS weight FROM lv")
@@ -172,10 +172,9 @@ def in6_text_vectors(spark, sf):
     return out.withColumn("weight", F.round("weight", 6))
 
 
-@query("jn7_technique_join", f"WITH {MATCH} SELECT a, b, round(sim, 6) AS sim FROM sc WHERE sim >= {FLOOR}")
+@query("jn7_technique_join", f"WITH {MATCH} SELECT a, b, round(sim, 6) AS sim, rank FROM tk")
 def jn7_technique_join(spark, sf):
-    q, lib = match_vectors(spark, sf)
-    return sim.similar_pairs(q, lib, FLOOR).withColumn("sim", F.round("sim", 6))
+    return top_matches(spark, sf).withColumn("sim", F.round("sim", 6))
 
 
 AUX = ",\n".join(
@@ -200,13 +199,15 @@ def aux_library(spark, sf):
 
 @query(
     "in7_hybrid_score",
-    f"""WITH {MATCH}, {AUX} SELECT a, b, round(0.7 * coalesce(s.sim, 0) + 0.3 * coalesce(x.sim, 0), 6) AS sim FROM sc s FULL JOIN sx x USING (a, b)
-        WHERE 0.7 * coalesce(s.sim, 0) + 0.3 * coalesce(x.sim, 0) >= 0.3""",
+    f"""WITH {MATCH}, {AUX}, ids AS (SELECT id AS b FROM lv UNION SELECT id FROM xv),
+        mx AS (SELECT q.id AS a, ids.b, 0.7 * coalesce(s.sim, 0) + 0.3 * coalesce(x.sim, 0) AS sim FROM (SELECT id FROM qv UNION SELECT id FROM xq) q
+          CROSS JOIN ids LEFT JOIN sc s ON s.a = q.id AND s.b = ids.b LEFT JOIN sx x ON x.a = q.id AND x.b = ids.b)
+        SELECT a, b, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b)::INT AS rank FROM mx) WHERE rank <= 10""",
 )
 def in7_hybrid_score(spark, sf):
     q, lib = match_vectors(spark, sf)
     turns, whole = aux_library(spark, sf)
-    out = interpret.hybrid(q, lib, sim.tfidf(whole, turns), sim.tfidf(query_texts(spark, sf), turns), 0.3, 0.3)
+    out = interpret.hybrid(q, lib, sim.tfidf(whole, turns), sim.tfidf(query_texts(spark, sf), turns), 0.3, 10)
     return out.withColumn("sim", F.round("sim", 6))
 
 
@@ -269,14 +270,14 @@ def wf7_first_match_rank(spark, sf):
 
 @query(
     "in11_expected_rank",
-    f"""WITH {MATCH} SELECT s.a, s.b, 1 + (SELECT count(*) FROM sc o WHERE o.a = s.a AND o.sim >= {FLOOR} AND round(o.sim, 9) > round(s.sim, 9)) AS rank
-        FROM sc s WHERE s.sim >= {FLOOR} AND s.b % 4 = s.a % 4""",
+    f"""WITH {MATCH} SELECT s.a, s.b, 1 + (SELECT count(*) FROM al o WHERE o.a = s.a AND round(o.sim, 9) > round(s.sim, 9)) AS rank
+        FROM al s WHERE s.b = s.a % 40""",
 )
 def in11_expected_rank(spark, sf):
     q, lib = match_vectors(spark, sf)
-    scores = cut(sim.similar_pairs(q, lib, FLOOR))
-    expected = scores.filter(F.col("b") % 4 == F.col("a") % 4).select("a", "b")
-    return interpret.expected_rank(scores, expected)
+    known = lib.select(F.col("id").alias("b")).distinct()
+    expected = v.table(spark, sf, "documents").select(F.col("doc_id").alias("a"), (F.col("doc_id") % 40).alias("b"))
+    return sim.ranks_of(q, lib, expected.join(known, "b", "left_semi"))
 
 
 @query(
@@ -300,7 +301,7 @@ def methods(spark, sf):
     runs = {
         "direct": (docs, lib_vec), "library": (docs, flat_vec), "query": (short, lib_vec), "both": (short, flat_vec),
     }
-    tops = {name: named(sim.top_similar(sim.tfidf(q, lib), vec, 10, FLOOR)) for name, (q, vec) in runs.items()}
+    tops = {name: named(sim.top_similar(sim.tfidf(q, lib), vec, 10)) for name, (q, vec) in runs.items()}
     sure = tops["query"].filter("rank = 1").select(F.col("a").alias("id"), F.col("sim").alias("confidence"))
     out = None
     for name, top in tops.items():
@@ -321,7 +322,8 @@ def _method_sql() -> str:
     for name, q, lib in (("direct", "q1", "l1"), ("library", "q1", "l2"), ("query", "q2", "l1"), ("both", "q2", "l2")):
         parts.append(
             f"""t_{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS rank FROM (
-              SELECT q.id AS a, l.id AS b, sum(q.w * l.w) AS sim FROM {q} q JOIN {lib} l ON q.t = l.t GROUP BY 1, 2) WHERE sim >= {FLOOR}) WHERE rank <= 10)"""
+              SELECT a, b, coalesce(sim, 0) AS sim FROM (SELECT DISTINCT id AS a FROM {q}) CROSS JOIN (SELECT DISTINCT id AS b FROM {lib})
+              LEFT JOIN (SELECT q.id AS a, l.id AS b, sum(q.w * l.w) AS sim FROM {q} q JOIN {lib} l ON q.t = l.t GROUP BY 1, 2) USING (a, b))) WHERE rank <= 10)"""
         )
     tops = " UNION ALL ".join(f"SELECT '{m}' AS method, a, b, rank FROM t_{m}" for m in ("direct", "library", "query", "both"))
     parts.append(f"tops AS ({tops})")

@@ -61,16 +61,69 @@ def test_similarity_join_equals_brute_force(spark):
         na, nb = (sum(x * x for x in v.values()) ** 0.5 for v in (a, b))
         return sum(w * b.get(f, 0.0) for f, w in a.items()) / (na * nb)
 
-    for floor in (0.3, 0.8):
+    for floor in (0.0, 0.3, 0.8):
         got = {(r.a, r.b): round(r.sim, 9) for r in similarity.similar_pairs(frame(left), frame(right), floor).collect()}
         want = {(i, j): round(cos(a, b), 9) for i, a in left.items() for j, b in right.items() if cos(a, b) >= floor}
         assert got == want
-    top = {}
-    for r in similarity.top_similar(frame(left), frame(right), 3, 0.3).collect():
-        top.setdefault(r.a, {})[r.rank] = r.b
+
+
+def _plain_top(left, right, k):
+    out = {}
     for i, a in left.items():
-        best = sorted((j for j, b in right.items() if cos(a, b) >= 0.3), key=lambda j: (-round(cos(a, right[j]), 9), j))[:3]
-        assert [top.get(i, {}).get(k + 1) for k in range(len(best))] == best
+        na = sum(x * x for x in a.values()) ** 0.5
+        scores = []
+        for j, b in right.items():
+            dot, nb = sum(w * b.get(f, 0.0) for f, w in a.items()), sum(x * x for x in b.values()) ** 0.5
+            scores.append((-round(dot / (na * nb), 9) + 0.0, j))
+        out[i] = [(j, r + 1) for r, (s, j) in enumerate(sorted(scores)[:k])]
+    return out
+
+
+@pytest.mark.parametrize("short", [0, 1024])
+def test_top_k_needs_no_floor(spark, short, monkeypatch):
+    monkeypatch.setattr(similarity, "SHORT", short)
+    monkeypatch.setattr(similarity, "OWN", 0 if short == 0 else 32)
+    rng = random.Random(12)
+    frame = lambda vs: spark.createDataFrame([(i, f, w) for i, v in vs.items() for f, w in v.items()], "id string, feature string, weight double")
+    zipf = lambda n: {f"f{min(int(rng.paretovariate(0.5)), 400)}": float(rng.randrange(1, 5)) for _ in range(n)}
+    left = {f"q{i:03}": zipf(rng.randrange(1, 25)) for i in range(60)} | {"alone": {"nowhere": 1.0}}
+    right = {f"r{i:03}": zipf(rng.randrange(1, 12)) for i in range(150)}
+    right |= {f"s{i:03}": dict(right["r003"]) for i in range(30)}  # copies fill a whole top
+    left["copy"] = dict(right["r003"])
+    for k in (4, 25):
+        got = {}
+        for r in similarity.top_similar(frame(left), frame(right), k).collect():
+            got.setdefault(r.a, []).append((r.b, r["rank"]))
+        assert {a: sorted(x, key=lambda t: t[1]) for a, x in got.items()} == _plain_top(left, right, k)
+    ranks = {(r.a, r.b): r["rank"] for r in similarity.ranks_of(frame(left), frame(right), spark.createDataFrame([(a, b) for a in left for b in ("r000", "r007", "s004")], "a string, b string")).collect()}
+    for a in left:
+        order = dict(_plain_top({a: left[a]}, right, len(right))[a])
+        scores = {b: similarity_of(left[a], right[b]) for b in right}
+        for b in ("r000", "r007", "s004"):
+            assert ranks[a, b] == 1 + sum(s > scores[b] for s in scores.values()) and order[b] >= ranks[a, b]
+    assert similarity.top_similar(frame(left), frame(right).limit(0), 3).count() == 0
+
+
+def similarity_of(a, b):
+    na, nb = (sum(x * x for x in v.values()) ** 0.5 for v in (a, b))
+    return round(sum(w * b.get(f, 0.0) for f, w in a.items()) / (na * nb), 9)
+
+
+def test_top_k_opens_few_lists(spark):
+    """Every vector has ten common features and a few rare ones: the common lists are not opened for all pairs."""
+    rng = random.Random(13)
+    group = lambda i: {f"g{i % 30}-{j}": 3.0 for j in range(6)} | {f"common{j}": 0.2 * rng.random() for j in range(10)}
+    rows = [(i, f, w) for i in range(600) for f, w in group(i).items()]
+    frame = spark.createDataFrame(rows, "id int, feature string, weight double").repartition(8).cache()
+    _, entries = similarity._classes(frame, True)
+    postings = similarity._postings(entries)
+    bounded = similarity._bounded(similarity._listed(entries, postings), postings).cache()
+    tau = similarity._threshold(bounded, postings, 5)
+    found = similarity._search(bounded, postings, tau, 5)
+    assert tau.count() == 600 and tau.agg(F.min("tau")).first()[0] > 0.9
+    kept = bounded.join(tau, "a").filter("rest >= tau - 2e-9").join(postings.groupBy("feature").agg(F.count(F.lit(1)).alias("n")), "feature")
+    assert kept.agg(F.sum("n")).first()[0] < 0.5 * 600 * 600
+    assert found.count() < 0.08 * 600 * 600
 
 
 def test_overlap_equals_brute_force(spark):
