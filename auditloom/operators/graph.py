@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import fixed_values as V
 from auditloom.operators.ranking import hot_keys, ordered_positions, salted_join, top_per_group
+from auditloom.operators.reach import source_sets
 from auditloom.session import cut
 
 GRAPH = ["snapshot_id"]
@@ -184,20 +185,6 @@ def related(pairs: DataFrame, comps: DataFrame, by: list[str] = GRAPH) -> DataFr
     return joined.withColumn("related", same).drop("_ca", "_cb")
 
 
-def ancestors(edges: DataFrame, targets: DataFrame, by: list[str] = GRAPH) -> DataFrame:
-    """All transitive predecessors of each target: ``node, ancestor`` (only new pairs are expanded)."""
-    parents = cut(edges.select(*by, F.col("dst").alias("_child"), F.col("src").alias("ancestor")).distinct())
-    first = targets.select(*by, "node").distinct().withColumn("_child", F.col("node"))
-    frontier = cut(first.join(parents, [*by, "_child"]).select(*by, "node", "ancestor").distinct())
-    found = frontier
-    while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("ancestor", "_child").join(parents, [*by, "_child"])
-        fresh = step.select(*by, "node", "ancestor").distinct().join(found, [*by, "node", "ancestor"], "left_anti")
-        frontier = cut(fresh)
-        found = cut(found.unionByName(frontier))
-    return found
-
-
 def accessors(nodes: DataFrame, edges: DataFrame, by: list[str] = GRAPH, resources: tuple = V.RESOURCE_TYPES) -> DataFrame:
     """``resource, process`` for every process with an edge to or from a resource node."""
     kind = nodes.select(*by, "name", "type")
@@ -215,13 +202,13 @@ def accessors(nodes: DataFrame, edges: DataFrame, by: list[str] = GRAPH, resourc
 def accessor_clusters(nodes: DataFrame, edges: DataFrame, by: list[str] = GRAPH, resources: tuple = V.RESOURCE_TYPES):
     """Accessors of one resource that share an ancestor, directly or through others: ``cluster``.
 
-    Found as components of the accessor-ancestor graph of each resource, so no pairs of accessors are built.
+    Two processes share an ancestor if they share a source of the graph, so the links are those to sources: in a forest one
+    for each process, whatever its depth. Clusters are components of these links; no pairs of accessors are built.
     """
     access = cut(accessors(nodes, edges, by, resources))
-    above = ancestors(edges, access.select(*by, F.col("process").alias("node")), by)
-    links = access.join(above.withColumnRenamed("node", "process"), [*by, "process"])
+    links = access.join(source_sets(edges, by).withColumnRenamed("node", "process"), [*by, "process"])
     shared = links.select(
-        *by, "resource", F.concat(F.lit("p:"), "process").alias("src"), F.concat(F.lit("a:"), "ancestor").alias("dst")
+        *by, "resource", F.concat(F.lit("p:"), "process").alias("src"), F.concat(F.lit("a:"), "source").alias("dst")
     )
     comps = components(shared, [*by, "resource"]).filter(F.col("node").startswith("p:"))
     comps = comps.select(*by, "resource", F.expr("substring(node, 3)").alias("process"), "component")

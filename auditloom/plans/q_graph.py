@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditloom.operators import features, graph, wl
+from auditloom.operators import features, graph, reach, wl
 from auditloom.plans import views as v
 from auditloom.plans.registry import query
 
@@ -234,7 +234,7 @@ ANC = """anc AS (SELECT DISTINCT e.snapshot_id, n.name AS node, e.src AS ancesto
 @query("gr9_ancestors", recursive(v.GRAPH, ANC, "SELECT snapshot_id, node, ancestor FROM anc"))
 def gr9_ancestors(spark, sf):
     procs = v.nodes(spark, sf).filter("type = 'SUBJECT_PROCESS'").select("snapshot_id", F.col("name").alias("node"))
-    return graph.ancestors(v.edges(spark, sf), procs)
+    return reach.ancestors(v.edges(spark, sf), procs)
 
 
 CLUSTERS = """acc AS (SELECT DISTINCT e.snapshot_id, e.dst AS resource, e.src AS process FROM edges e

@@ -15,24 +15,31 @@ RECORD = T.StructType(
 )
 
 
+def _nested(depth: int) -> str:
+    """Pattern of a JSON object with objects inside up to ``depth`` deep; braces inside strings count as text."""
+    inside = r'[^{}"]++|"(?:[^"\\]++|\\.)*+"'
+    pattern = rf"\{{(?:{inside})*+\}}"
+    for _ in range(depth):
+        pattern = rf"\{{(?:{inside}|{pattern})*+\}}"
+    return pattern
+
+
 def read_records(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """Records from JSON lines, arrays on one line, or several objects glued on one line.
 
-    ``multi_line`` reads pretty-printed array files, one file per task.
+    A line that is one array is parsed as a whole; from other lines, also from arrays that are cut off, every object is taken
+    that is complete, with braces inside strings left alone. ``multi_line`` reads pretty-printed array files, one file per
+    task.
     """
     if multi_line:
         parsed = spark.read.schema(RECORD).option("multiLine", "true").json(path)
         return parsed.withColumn("source_file", F.col("_metadata.file_path"))
     lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("source_file"))
-    lines = lines.filter(F.col("value") != "")
-    body = F.regexp_replace(F.regexp_replace("value", r"^[\[,]\s*", ""), r"\s*[\],]$", "")
-    glued = F.split(F.regexp_replace(body, r"\}\s*,?\s*\{", "}\n{"), "\n")
-    one = F.from_json("value", RECORD)
-    single = F.col("value").startswith("{") & ~F.col("value").rlike(r"\}\s*,?\s*\{") & one["objectID"].isNotNull()
-    texts = F.when(single, F.array("value")).otherwise(glued)
-    pieces = lines.select("source_file", F.explode(texts).alias("text"))
-    parsed = pieces.select("source_file", F.from_json("text", RECORD).alias("r"))
-    return parsed.filter(F.coalesce("r.objectID", "r.actorID", "r.action").isNotNull()).select("source_file", "r.*")
+    array = F.when(F.col("value").startswith("["), F.from_json("value", T.ArrayType(RECORD)))
+    lines = lines.filter(F.col("value") != "").withColumn("whole", array)
+    objects = F.transform(F.regexp_extract_all("value", F.lit(_nested(6)), F.lit(0)), lambda x: F.from_json(x, RECORD))
+    pieces = lines.select("source_file", F.explode(F.coalesce("whole", objects)).alias("r"))
+    return pieces.filter(F.coalesce("r.objectID", "r.actorID", "r.action").isNotNull()).select("source_file", "r.*")
 
 
 def _text(name: str):

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.operators import graph, wl
+from auditloom.operators import reach, graph, wl
 
 
 def edge_df(spark, pairs, snapshot=1, action="EVENT_READ"):
@@ -72,7 +72,7 @@ def test_ancestors_and_clusters_on_toy_graph(spark):
     e, n = edge_df(spark, TOY), toy_nodes(spark)
     targets = n.select("snapshot_id", F.col("name").alias("node"))
     got = {}
-    for r in graph.ancestors(e, targets).collect():
+    for r in reach.ancestors(e, targets).collect():
         got.setdefault(r.node, set()).add(r.ancestor)
     assert got["P1"] == {"P4", "F", "P0"} and got["P3"] == {"F", "P0"} and "P0" not in got
     clusters = {(r.resource, r.process): r.cluster for r in graph.accessor_clusters(n, e).collect()}

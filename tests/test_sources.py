@@ -115,6 +115,22 @@ def test_labels_and_scenes(spark, tmp_path):
     assert sorted(r.label_id for r in labels.collect()) == ["x", "y"]
 
 
+def test_optc_braces_inside_strings(spark, tmp_path):
+    rec = lambda i, cmd: '{"objectID":"%s","object":"PROCESS","properties":{"command_line":%s}}' % (i, cmd)
+    odd = ['"awk \'{a}{b}\'"', '"x } , { y"', r'"quote \" }{ \" end"', r'"back\\"', '"{"', '"}"', '""', "null"]
+    text = "\n".join(rec(f"l{i}", c) for i, c in enumerate(odd)) + "\n"
+    text += "[" + ", ".join(rec(f"a{i}", c) for i, c in enumerate(odd)) + "]\n"
+    text += "".join(rec(f"g{i}", c) for i, c in enumerate(odd)) + "\n"
+    text += ",".join(rec(f"c{i}", c) for i, c in enumerate(odd)) + ",\n"
+    text += "[" + rec("cut1", '"}{"') + ", " + rec("cut2", '"x"') + ', {"objectID":"lost"\nnot json\n{}\n'
+    text += '{"objectID":"deep","properties":{"command_line":"z"},"more":{"a":{"b":[{"c":{}}]}}}\n'
+    got = {r.objectID: r.properties and r.properties.command_line for r in optc.read_records(spark, write(tmp_path, "b.json", text)).collect()}
+    import json
+
+    want = {f"{k}{i}": json.loads(c) for k in "lagc" for i, c in enumerate(odd)} | {"cut1": "}{", "cut2": "x", "deep": "z"}
+    assert got == want
+
+
 def test_optc_edge_header(spark, tmp_path):
     text = "Source_ID Source_Type Destination_ID Destination_Type Edge_Type Timestamp\na P b F OPEN 2024-01-01T00:00:01\nc P d F READ bad\n"
     rows = edges.read_optc_edges(spark, write(tmp_path, "o.txt", text)).collect()
