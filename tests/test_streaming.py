@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from auditloom.operators import decay
-from auditloom.streaming import stateful, windows
+from auditloom.streaming import windows
 
 EVENT = "event_id long, actor_id string, actor_type string, object_id string, object_type string, action string, ts_us long"
 
