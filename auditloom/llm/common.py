@@ -24,6 +24,27 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_text(plain: DataFrame) -> DataFrame:
+    """``plain`` (``doc_id``, ``text``) with one text for each doc_id: of different ones that with the smallest md5.
+
+    Equal rows stay. Rows are joined only if there is such a doc_id at all.
+    """
+    digests = plain.groupBy("doc_id").agg(F.min(F.md5("text")).alias("_least"), F.max(F.md5("text")).alias("_most"))
+    several = stored(digests.where("_least < _most").select("doc_id", "_least"), "several-texts")
+    if several.isEmpty():
+        return plain
+    kept = plain.join(several, "doc_id", "left").where(F.col("_least").isNull() | (F.md5("text") == F.col("_least")))
+    return kept.select("doc_id", "text")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again: columns compress and can be read singly."""
     path = scratch_path(df.sparkSession, name)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import texts
+from auditloom.llm.common import fresh, texts
 
 WORD = re.compile(r"\w+")
 ANCHOR = 3  # words of a piece that are looked up
@@ -74,7 +74,7 @@ class Walk:
         return known
 
     def keys(self, window: list[str], tables: int) -> list[tuple]:
-        """One key for each table."""
+        """A key for each table that samples a word of the window."""
         out, places = [], self.embed(window)
         size = len(window)
         for t in range(tables):
@@ -82,7 +82,8 @@ class Walk:
             if chosen is None:
                 chosen = self.samples[size, t] = np.random.default_rng([self.number, t, size]).integers(0, STRETCH * size, SAMPLED)
             symbols = [window[places[i]] if places[i] < size else "" for i in chosen.tolist()]
-            out.append((self.number, t, size, *symbols))
+            if any(symbols):  # what lies past the end of the walk is the same in all windows of a size
+                out.append((self.number, t, size, *symbols))
         return out
 
 
@@ -118,6 +119,11 @@ def fewest_edits(pattern: list[str], words: list[str]) -> tuple[int, int]:
     return best, end
 
 
+def grams(codes: np.ndarray) -> np.ndarray:
+    """Hashes of every three neighbours. Two that differ may share one; what they propose is verified."""
+    return (codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + codes[2:]
+
+
 class Index:
     """Anchors and hash tables of a block of items."""
 
@@ -137,11 +143,11 @@ class Index:
             for walk in self.walks:
                 for key in walk.keys(w, self.tables):
                     self.buckets[key].add(n)
-        self.base = len(self.codes) + 1
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for (a, b, c), n, place in anchors:
-            self.at[(a * self.base + b) * self.base + c].append((len(self.items[n][1]), place))
-        self.known = np.array(sorted(self.at), np.int64)
+            gram = int(grams(np.array([a, b, c], np.uint64))[0])
+            self.at[gram].append((len(self.items[n][1]), place))
+        self.known = np.array(sorted(self.at), np.uint64)
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item id, start word, words, edits) of every item found in a text."""
@@ -149,11 +155,11 @@ class Index:
         if len(w) < ANCHOR or not len(self.known):
             return []
         get = self.codes.get
-        codes = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
-        grams = (codes[:-2] * self.base + codes[1:-1]) * self.base + codes[2:]
-        slot = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-        hits = np.flatnonzero((self.known[slot] == grams) & (codes[:-2] > 0) & (codes[1:-1] > 0) & (codes[2:] > 0))
-        windows = {(max(0, p - place), size) for p in hits.tolist() for size, place in self.at[int(grams[p])]}
+        codes = np.fromiter((get(x, 0) for x in w), np.uint64, len(w))
+        found = grams(codes)
+        slot = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        hits = np.flatnonzero((self.known[slot] == found) & (codes[:-2] > 0) & (codes[1:-1] > 0) & (codes[2:] > 0))
+        windows = {(max(0, p - place), size) for p in hits.tolist() for size, place in self.at[int(found[p])]}
         proposed = set()
         for start, size in windows:
             window = w[start : start + size]
@@ -205,5 +211,6 @@ def contaminated(
 
 def clean(docs: DataFrame, items: DataFrame, **limits) -> DataFrame:
     """``docs`` without the documents in which an item is found. Rows without doc_id go if one of them has an item."""
-    bad = contaminated(docs, items, **limits).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    name = fresh(docs, "_bad")
+    bad = contaminated(docs, items, **limits).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

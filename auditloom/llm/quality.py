@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import cut
+from auditloom.llm.common import cut, fresh
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -171,6 +171,6 @@ def judge(
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that pass. Rows under one doc_id go together, and only if all of them fail."""
-    verdict = judge(docs, **limits)
-    bad = verdict.groupBy("doc_id").agg(F.max("kept").alias("_kept")).where("NOT _kept").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    verdict, name = judge(docs, **limits), fresh(docs, "_bad")
+    bad = verdict.groupBy("doc_id").agg(F.max("kept").alias("_kept")).where("NOT _kept").select(F.col("doc_id").alias(name))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

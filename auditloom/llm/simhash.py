@@ -5,7 +5,8 @@ non-zero vector v makes a mask of the bits whose vector has odd parity with v. A
 less than the whole space, so some v is orthogonal to all of them: every pair within the radius agrees under one mask.
 
 Defined cases: null and empty texts have no words, fingerprint zero, and link like any other; repeated rows give
-repeated results; rows without doc_id take part but never name a group. No table is collected.
+repeated results; rows without doc_id take part but never name a group; near duplicates are found
+by the text with the smallest md5 where a doc_id has several. No table is collected.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import components, cut, stored, texts, words
+from auditloom.llm.common import components, cut, fresh, one_text, stored, texts, words
 
 SEED = 42
 #: Buckets up to this size are compared pair by pair, larger ones over shared neighbours.
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
                 ["doc_id", "digest", "wide", "keys"],
             )
 
-    plain = texts(docs).where("doc_id IS NOT NULL")
+    plain = one_text(texts(docs).where("doc_id IS NOT NULL"))
     sketches = cut(plain.mapInArrow(run, "doc_id long, digest string, wide array<long>, keys array<long>"))
     classes = cut(sketches.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = sketches.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
@@ -252,7 +253,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
             near = [jaccard(x, y, size) >= similarity for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near))
 
-    # a representative's own row: rows repeated under one doc_id count as the one with the smallest text
     own = plain.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def similar(candidates: DataFrame) -> DataFrame:
@@ -282,5 +282,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the documents whose group has a smaller doc_id. Rows without doc_id stay."""
     group = near_duplicates(docs, size, similarity)
-    gone = group.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = group.where("component_id <> doc_id").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -7,7 +7,8 @@ whose document frequencies differ clearly between toxic and other labelled docum
 The labels only say whether a document is toxic. Grades above 0 are set from how often words that mark toxic documents
 occur in it: once, up to three times, more often. A labels table with an integer column ``grade`` is taken as it is.
 
-Defined cases: a null text is empty; labels without a document and null labels are left out; without documents of both
+Defined cases: a null text is empty; labels without a document and null labels are left out; of
+several labels of one document the largest counts; without documents of both
 kinds, or without words that tell them apart, every document gets the mean grade of the labels; the sample for the fit
 is bounded by ``max_labelled`` rows in the order of a hash of doc_id, all documents are scored.
 """
@@ -93,7 +94,8 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Dat
     sample = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"), given.alias("grade"))
-        .dropDuplicates(["_id"])
+        .groupBy("_id")
+        .agg(F.max("toxic").alias("toxic"), F.max("grade").alias("grade"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(max_labelled)
     )
