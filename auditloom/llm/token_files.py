@@ -29,8 +29,8 @@ from auditloom.llm.token_counts import tokenizer
 
 MAGIC = b"PFR1"
 BLOCK, PAGE_IDS, PERCENTILE = 4096, 1 << 16, 95
-WORD = re.compile(f"[^{WHITE_SPACE}]+")
-STOP = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([.,;:!?])")
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+MARKS = np.array([ord(c) for c in ".,;:!?"], np.uint32)
 HEAD = struct.Struct("<4sIQI")  # magic, documents, ids, blocks
 BLOCK_HEAD = struct.Struct("<IIBI")  # minimum, ids, width, exceptions
 
@@ -100,22 +100,93 @@ def read_ids(page: bytes, start: int, stop: int) -> np.ndarray:
 
 
 # ---- encoding -------------------------------------------------------------------------------------
+GROUP = 1000  # pieces encoded in one call
+
+
 @functools.lru_cache(maxsize=4)
 def id_memo(path: str) -> Memo:
-    """Ids of single words as little-endian bytes."""
-    encode = tokenizer(path).encode_batch_fast
-    return Memo(lambda pieces: [struct.pack(f"<{len(e)}I", *e.ids) for e in encode(pieces, add_special_tokens=False)], limit=400_000)
+    """Ids of single pieces as little-endian bytes.
+
+    Many pieces go to the library as one text with a special string between them, which it encodes apart from what is around.
+    """
+    library = tokenizer(path)
+    special = next((t.content for t in library.get_added_tokens_decoder().values() if t.special and not t.normalized), None)
+    border = library.token_to_id(special) if special else None
+
+    def groups(pieces: list[str]) -> Iterator[bytes]:
+        for lo in range(0, len(pieces), GROUP):
+            group = pieces[lo : lo + GROUP]
+            if special and not any("<|" in x for x in group):
+                ids = np.array(library.encode_batch_fast([special.join(group)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(ids == border)
+                raw, begin, end = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+                yield from (raw[a:b] for a, b in zip(begin, end, strict=True))
+            else:
+                yield from (np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(group, add_special_tokens=False))
+
+    return Memo(lambda pieces: list(groups(pieces)), limit=400_000)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of code points up to the last white space: whether it is white space, and whether it is a letter marks part from."""
+    last = 0x3001
+    space, letter = np.zeros(last + 1, bool), np.zeros(last + 1, bool)
+    blank, single = re.compile(f"[{WHITE_SPACE}]"), re.compile(LETTERS)
+    for c in range(last + 1):
+        space[c], letter[c] = bool(blank.match(chr(c))), bool(single.match(chr(c)))
+    return space, letter
+
+
+SPACES, PARTED = _kinds()
 
 
-def split_words(text: str) -> list[str]:
-    """Pieces between white space, and before a mark that ends a sentence or part of one after a letter.
+def split_words(bodies: list[str]) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """(distinct pieces, the number of every piece of all texts in order, how many each text has).
 
-    The tokenizer starts a new token there anyway, and there are far fewer different words without such marks. It also
-    lowers all letters, so A-Z can be lowered before.
+    Pieces lie between white space, and before a mark that ends a sentence or part of one after a letter. The tokenizer starts
+    a new token there anyway, and there are far fewer different words without such marks.
     """
-    if "<|" not in text:  # special strings are told from others by case
-        text = text.encode().translate(LOWER).decode()
-    return WORD.findall(STOP.sub(r" \1", text))
+    joined = "\0" + "\0".join(bodies) + "\0"
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    low = np.minimum(points, len(SPACES) - 1)
+    ends = np.cumsum([0, *(len(x) + 1 for x in bodies)])
+    kind = SPACES[low].astype(np.uint8)  # 0 a piece, 1 white space, 2 between texts
+    kind[ends] = 2
+    starts = np.ones(len(points), bool)
+    starts[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    starts[1:] |= np.isin(points[1:], MARKS) & PARTED[low[:-1]] & (kind[:-1] == 0)
+    width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    at = np.flatnonzero(starts)
+    offsets = np.append((np.cumsum(width, dtype=np.int64) - width)[at], int(width.sum())).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(joined.encode())]).dictionary_encode()
+    numbers, of = found.indices.to_numpy(), kind[at]
+    counts = np.diff(np.cumsum(of == 0)[of == 2], prepend=0)[1:]
+    numbers = numbers[of == 0]
+    # white space and borders are no pieces
+    used = np.zeros(len(found.dictionary), bool)
+    used[numbers] = True
+    return found.dictionary.filter(pa.array(used)), (np.cumsum(used) - 1)[numbers], counts
+
+
+def word_ids(bodies: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in order, how many each has). Distinct pieces alone are encoded; ids are laid out on arrays."""
+    pieces, numbers, counts = split_words(bodies)
+    (known,) = memo.lookup([[x.decode() for x in pieces.to_pylist()]])
+    sizes = np.array([len(x) // 4 for x in known], np.int64)
+    flat, begin, n = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes, sizes[numbers]
+    places = np.repeat(begin[numbers] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    ends = np.cumsum(counts)
+    reach = np.append(0, np.cumsum(n))
+    return flat[places], reach[ends] - reach[ends - counts]
+
+
+def encoded(bodies: list[str], memo: Memo) -> Iterator[np.ndarray]:
+    """Ids of each text. A-Z is lowered first, as the tokenizer does, unless there may be a special string in a text."""
+    lowered = [None if "<|" in x else x.encode().translate(LOWER).decode() for x in bodies]
+    plain, special = [x for x in lowered if x is not None], [x for x, y in zip(bodies, lowered, strict=True) if y is None]
+    parts = [iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else ()) for ids, sizes in (word_ids(plain, memo), word_ids(special, memo))]
+    for x in lowered:
+        yield next(parts[x is None])
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
@@ -127,14 +198,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int) -> N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part, first = id_memo(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         names: list = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         size = number = 0
 
         def page() -> pa.RecordBatch:
             nonlocal first, number, size, names, parts
-            body = pack_page([len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), "<u4"))
+            body = pack_page([len(x) for x in parts], np.concatenate(parts))
             columns = [[part], [number], [first], [size], [names], [body]]
             out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PAGE, strict=True)], schema=PAGE)
             first, number, size, names, parts = first + size, number + 1, 0, [], []
@@ -143,13 +214,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int) -> N
         for batch in batches:
             keys, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in byte_slices(bodies):
-                for key, found in zip(keys[lo:hi], memo.lookup([split_words(t) for t in bodies[lo:hi]]), strict=True):
-                    encoded = b"".join(found) + end
-                    if size and size + len(encoded) // 4 > PAGE_IDS:
+                for key, ids in zip(keys[lo:hi], encoded(bodies[lo:hi], memo), strict=True):
+                    if size and size + len(ids) + 1 > PAGE_IDS:
                         yield page()
                     names.append(key)
-                    parts.append(encoded)
-                    size += len(encoded) // 4
+                    parts.append(np.append(ids, end))
+                    size += len(ids) + 1
         if size:
             yield page()
 
