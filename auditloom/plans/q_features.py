@@ -58,16 +58,16 @@ def fe4_phrase_vectors(spark, sf):
 
 
 def words(spark, sf):
-    """A vector per known token: the tokens of all properties whose bucket is even."""
+    """A vector per token of the properties."""
     tokens = v.nodes(spark, sf).select(F.explode(T.property_tokens(F.col("prop"))).alias("token")).distinct()
     bucket = hash60(F.col("token")) % 400
     e = v.vectors(spark, sf).select(F.col("vec_id").alias("_b"), "vec")
-    return tokens.withColumn("_b", bucket).filter("_b % 2 = 0").join(e, "_b").select("token", "vec")
+    return tokens.withColumn("_b", bucket).join(e, "_b").select("token", "vec")
 
 
 WORDS = f"""wt AS (SELECT DISTINCT unnest({TOK}) AS token FROM nodes),
 wv AS (SELECT token, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM (
-  SELECT token, ('0x' || substring(md5(token), 1, 15))::BIGINT % 400 AS b FROM wt) t JOIN embeddings e ON e.vec_id = t.b WHERE t.b % 2 = 0)"""
+  SELECT token, ('0x' || substring(md5(token), 1, 15))::BIGINT % 400 AS b FROM wt) t JOIN embeddings e ON e.vec_id = t.b)"""
 
 DIGEST = """round(coalesce(sum(x), 0), 6) AS s, round(coalesce(sum(x * x), 0), 6) AS q, round(coalesce(sum(x * i), 0), 5) AS w, 64::BIGINT AS n"""
 

@@ -67,13 +67,17 @@ RAW_SQL = """trim(CASE role WHEN 0 THEN actor_type || ' ' || action || ' ' || ob
   ELSE actor_type || ' ' || ap || ' ' || action || ' ' || object_type || ' ' || op END)"""
 
 
+#: The entities to interpret: those that the labels table names.
+NAMED = "lab AS (SELECT DISTINCT 'u' || doc_id AS label_id FROM labels)"
+
+
 def sides(spark, sf):
-    wanted = v.labelled_entities(spark, sf).select(F.col("label_id").alias("entity"))
+    wanted = v.table(spark, sf, "labels").select(F.concat(F.lit("u"), "doc_id").alias("entity")).distinct()
     best = ev_ops.preferred_entities(v.entities(spark, sf))
     return interpret.event_sides(v.audit_events(spark, sf), best, wanted)
 
 
-@query("in2_raw_query", v.with_ctes(v.EV, v.ENT, v.LAB, SIDES + ",\n" + ordered_text(RAW_SQL, "raw_query").rsplit("\nSELECT", 1)[0], "SELECT" + ordered_text(RAW_SQL, "raw_query").rsplit("\nSELECT", 1)[1]))
+@query("in2_raw_query", v.with_ctes(v.EV, v.ENT, NAMED, SIDES + ",\n" + ordered_text(RAW_SQL, "raw_query").rsplit("\nSELECT", 1)[0], "SELECT" + ordered_text(RAW_SQL, "raw_query").rsplit("\nSELECT", 1)[1]))
 def in2_raw_query(spark, sf):
     return interpret.raw_queries(sides(spark, sf))
 
@@ -87,7 +91,7 @@ ENH_SQL = f"trim({SUBJ_SQL} || ' ' || {VERB_SQL} || CASE WHEN contains({VERB_SQL
 ENH = ordered_text(ENH_SQL, "query", f"WHERE NOT ({LOW_SQL.replace('phrase', VERB_SQL)})")
 
 
-@query("in3_translated_query", v.with_ctes(v.EV, v.ENT, v.LAB, SIDES + ",\n" + ENH.rsplit("\nSELECT", 1)[0], "SELECT" + ENH.rsplit("\nSELECT", 1)[1]))
+@query("in3_translated_query", v.with_ctes(v.EV, v.ENT, NAMED, SIDES + ",\n" + ENH.rsplit("\nSELECT", 1)[0], "SELECT" + ENH.rsplit("\nSELECT", 1)[1]))
 def in3_translated_query(spark, sf):
     return interpret.translated_queries(sides(spark, sf))
 
@@ -342,6 +346,81 @@ def in18_method_comparison(spark, sf):
     return methods(spark, sf).groupBy("method", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- from events to techniques ---------------------------------------------------------------------
+def _entity_sql(name: str, sentence: str, extra: str = "") -> str:
+    """CTE <name> (entity, text): the first 30 distinct sentences of every entity."""
+    return f"""{name}_st AS (SELECT entity, sentence, min(role * 10000000000000000 + ts_us) AS o FROM (SELECT *, {sentence} AS sentence FROM sd) {extra} GROUP BY 1, 2),
+{name}_rk AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY o, sentence) AS r FROM {name}_st),
+{name} AS (SELECT entity, string_agg(sentence, '. ' ORDER BY r) AS text FROM {name}_rk WHERE r <= 30 GROUP BY 1)"""
+
+
+def _method_scores(name: str, queries: str, library: str) -> str:
+    return f"""{name}_sc AS (SELECT q.id AS a, l.id AS b, sum(q.w * l.w) AS sim FROM {queries} q JOIN {library} l ON q.t = l.t GROUP BY 1, 2),
+{name}_al AS (SELECT a, b, coalesce(sim, 0) AS sim FROM (SELECT DISTINCT id AS a FROM {queries}) CROSS JOIN (SELECT DISTINCT id AS b FROM {library})
+  LEFT JOIN {name}_sc USING (a, b))"""
+
+
+ENTITY_METHODS = ("direct", "technique", "log", "full", "hybrid")
+_TOP10 = "(SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY round(sim, 9) DESC, b) AS rank FROM {}_al QUALIFY rank <= 10)"
+
+
+def _chain_sql() -> str:
+    parts = [
+        v.EV, v.ENT, NAMED, SIDES, INTENT,
+        _entity_sql("raw_q", RAW_SQL),
+        _entity_sql("tr_q", ENH_SQL, f"WHERE NOT ({LOW_SQL.replace('phrase', VERB_SQL)})"),
+        "raw_t AS (SELECT tech_id, string_agg(subject || ' ' || verb || ' ' || object, '. ') AS text FROM tri GROUP BY 1)",
+        """ops_t AS (SELECT tech_id, string_agg(sentence, '. ') AS text FROM (SELECT DISTINCT tech_id, sys_subject || ' ' || op || ' ' || sys_object AS sentence
+          FROM (SELECT *, unnest(string_split(ops, ',')) AS op FROM mapped WHERE ops IS NOT NULL)) GROUP BY 1)""",
+    ]
+    for lib in ("raw", "ops"):
+        parts += [df_sql(f"{lib}_l", f"{lib}_t", "tech_id", "text"), tfidf_sql(f"{lib}_v", f"{lib}_t", "tech_id", "text", f"{lib}_l")]
+        parts += [tfidf_sql(f"{q}_{lib}", f"{q}_q", "entity", "text", f"{lib}_l") for q in ("raw", "tr")]
+    parts += [
+        _method_scores("direct", "raw_raw", "raw_v"), _method_scores("technique", "raw_ops", "ops_v"),
+        _method_scores("log", "tr_raw", "raw_v"), _method_scores("full", "tr_ops", "ops_v"),
+        """hybrid_al AS (SELECT a, b, 0.7 * coalesce(m.sim, 0) + 0.3 * coalesce(x.sim, 0) AS sim FROM (SELECT a FROM full_al UNION SELECT a FROM direct_al)
+          CROSS JOIN (SELECT b FROM full_al UNION SELECT b FROM direct_al) LEFT JOIN full_sc m USING (a, b) LEFT JOIN direct_sc x USING (a, b))""",
+        "tops AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, a, b, sim, rank FROM {_TOP10.format(m)}" for m in ENTITY_METHODS) + ")",
+        "conf AS (SELECT a, max(sim) AS sim FROM log_al GROUP BY 1)",
+        f"ms AS (SELECT unnest({list(ENTITY_METHODS)}) AS method)",
+        f"""det AS (SELECT e.label_id, m.method, CASE WHEN coalesce(max(c.sim), 0) < {GAMMA} OR count(t.b) = 0 THEN 'unmapped'
+          WHEN max(CASE WHEN t.b = 'T' || (1000 + substring(e.label_id, 2)::BIGINT % 40) THEN 1 ELSE 0 END) = 1 THEN 'correct' ELSE 'incorrect' END AS status,
+            max(CASE WHEN t.rank = 1 THEN t.b END) AS best, round(max(CASE WHEN t.rank = 1 THEN t.sim END), 6) AS score
+          FROM ms m CROSS JOIN lab e LEFT JOIN tops t ON t.a = e.label_id AND t.method = m.method LEFT JOIN conf c ON c.a = e.label_id GROUP BY 1, 2)""",
+    ]
+    return "WITH " + ",\n".join(p.removeprefix("WITH ") for p in parts) + "\nSELECT label_id AS id, method, status, best, score FROM det"
+
+
+@query("in18_entity_methods", _chain_sql())
+def in18_entity_methods(spark, sf):
+    """Events to entity texts to vectors to techniques: raw and translated texts against raw and translated techniques.
+
+    The confidence is always that of the translated text against the raw techniques.
+    """
+    said = cut(sides(spark, sf))
+    words = lambda df, key, text: df.select(F.col(key).alias("id"), T.word_tokens(F.col(text)).alias("tokens"))
+    texts = {"raw": words(interpret.raw_queries(said), "entity", "raw_query"), "translated": words(interpret.translated_queries(said), "entity", "query")}
+    triples = intent_triples(spark, sf)
+    plain = triples.select("tech_id", F.concat_ws(" ", "subject", "verb", "object").alias("sentence"))
+    joined = lambda df: df.groupBy("tech_id").agg(F.concat_ws(". ", F.collect_list("sentence")).alias("text"))
+    library = {k: cut(words(joined(t), "tech_id", "text")) for k, t in (("raw", plain), ("translated", interpret.operational_triples(triples)))}
+    lib = {k: cut(sim.tfidf(t, t)) for k, t in library.items()}
+    vectors = {(q, k): cut(sim.tfidf(texts[q], library[k])) for q in texts for k in library}
+    pairs = {"direct": ("raw", "raw"), "technique": ("raw", "translated"), "log": ("translated", "raw"), "full": ("translated", "translated")}
+    tops = {m: cut(sim.top_similar(vectors[x], lib[x[1]], 10)) for m, x in pairs.items()}
+    tops["hybrid"] = interpret.hybrid(vectors[pairs["full"]], lib["translated"], lib["raw"], vectors[pairs["direct"]], 0.3, 10)
+    sure = tops["log"].filter("rank = 1").select(F.col("a").alias("id"), F.col("sim").alias("confidence"))
+    entities = v.table(spark, sf, "labels").select("doc_id").distinct()
+    truth = entities.select(F.concat(F.lit("u"), "doc_id").alias("id"), F.concat(F.lit("T"), 1000 + F.col("doc_id") % 40).alias("technique"))
+    every = None
+    for m, top in tops.items():
+        best = top.filter("rank = 1").select(F.col("a").alias("id"), F.col("b").alias("best"), F.round("sim", 6).alias("score"))
+        hits = interpret.hit_at_k(truth, top, sure, 10, GAMMA).select("id", F.lit(m).alias("method"), "status").join(best, "id", "left")
+        every = hits if every is None else every.unionByName(hits)
+    return every
+
+
 # ---- alignment ------------------------------------------------------------------------------------
 def step_sequences(spark, sf):
     """Per customer: sizes of the ordered parts in order of time, cut into sequences of at most 100 steps."""

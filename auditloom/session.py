@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import zipfile
 from pathlib import Path
@@ -30,24 +29,20 @@ def build_session(app: str = "auditloom", master: str | None = None, **conf: str
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``, else one below the session's warehouse folder.
 
-    Both are reached by the driver and all executors. What this application wrote there is removed when it ends.
+    The driver and all executors must reach it: without a named folder a local warehouse is an error unless the master is
+    local, too. What this application wrote there is removed when its virtual machine ends, also if the session was stopped
+    before.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/auditloom-checkpoints")
-    atexit.register(_remove_checkpoints, sc)
-
-
-def _remove_checkpoints(sc) -> None:
-    """Delete this application's own folder; nothing to do if the session was stopped before."""
-    if sc._jsc is None:
-        return
-    own = sc._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        path = sc._jvm.org.apache.hadoop.fs.Path(own.get())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    folder = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/auditloom-checkpoints"
+    if not named and folder.startswith(("file:", "/")) and not sc.master.startswith("local"):
+        raise ValueError(f"{folder} is a folder of the driver alone; set spark.checkpoint.dir to one that all executors reach")
+    sc.setCheckpointDir(folder)
+    path = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 _shipped: set[str] = set()
