@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -174,31 +173,38 @@ def score_gap(top: DataFrame) -> DataFrame:
 LCS_TYPE = StructType([StructField("length", IntegerType()), StructField("mask", ArrayType(BooleanType()))])
 
 
+def _places(b) -> dict:
+    """The positions of every item of ``b`` as bits."""
+    places: dict = {}
+    for i, item in enumerate(b):
+        places[item] = places.get(item, 0) | (1 << i)
+    return places
+
+
 def _lcs(a: list, b: list) -> tuple[int, list[bool]]:
     """Longest common subsequence: its length and which positions of ``a`` belong to it.
 
-    Each row of the table is one vectorised step; of equally long choices the one that matches late in
-    ``a`` is taken.
+    Of every row of the table only one bit per position of ``b`` is kept, that tells where the length grows, so two sequences
+    of 10,000 steps need 12 MB. Of equally long choices the one that matches late in ``a`` is taken.
     """
     mask = [False] * len(a)
-    if not len(a) or not len(b):
-        return 0, mask
-    other = np.asarray(b, dtype=object)
-    rows = [np.zeros(len(b) + 1, dtype=np.int32)]
+    places, full = _places(b), (1 << len(b)) - 1
+    rows = [full]
     for item in a:
-        above = rows[-1]
-        gain = np.where(other == item, above[:-1] + 1, 0)
-        rows.append(np.concatenate(([0], np.maximum.accumulate(np.maximum(above[1:], gain)))).astype(np.int32))
+        row = rows[-1]
+        hit = row & places.get(item, 0)
+        rows.append(((row + hit) | (row - hit)) & full)
+    grown = lambda row, size: size - (row & ((1 << size) - 1)).bit_count()
     left, right = len(a), len(b)
     while left and right:
         if a[left - 1] == b[right - 1]:
             left, right = left - 1, right - 1
             mask[left] = True
-        elif rows[left - 1][right] >= rows[left][right - 1]:
+        elif grown(rows[left - 1], right) >= grown(rows[left], right - 1):
             left -= 1
         else:
             right -= 1
-    return int(rows[-1][-1]), mask
+    return grown(rows[-1], len(b)), mask
 
 
 @F.pandas_udf(LCS_TYPE)
@@ -225,10 +231,7 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     for x, y in zip(a, b):
         other = tuple(y)
         if other not in seen:
-            places: dict = {}
-            for i, item in enumerate(other):
-                places[item] = places.get(item, 0) | (1 << i)
-            seen[other] = places
+            seen[other] = _places(other)
         out.append(_lcs_length(x, seen[other], len(other)))
     return pd.Series(out, dtype="int32")
 

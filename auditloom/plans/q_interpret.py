@@ -12,7 +12,6 @@ from auditloom.functions import text as T
 from auditloom.operators import events as ev_ops
 from auditloom.operators import interpret, snapshots
 from auditloom.operators import similarity as sim
-from auditloom.operators.ranking import ordered_positions
 from auditloom.plans import views as v
 from auditloom.plans.q_text import EXT_SQL, INTENT, NAME_SQL, VERB_SQL, intent_triples, sql_words
 from auditloom.plans.registry import query
@@ -423,16 +422,14 @@ def in18_entity_methods(spark, sf):
 
 # ---- alignment ------------------------------------------------------------------------------------
 def step_sequences(spark, sf):
-    """Per customer: sizes of the ordered parts in order of time, cut into sequences of at most 100 steps."""
+    """Per customer: sizes of the ordered parts in order of time."""
     li, o, p = (v.table(spark, sf, t) for t in ("lineitem", "orders", "part"))
     rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
     code = F.concat(F.lit("T"), 1000 + F.col("p_size"))
     order = [F.col(c) for c in ("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
     rows = rows.select("o_custkey", *order, code.alias("code"))
-    placed = ordered_positions(rows, ["o_custkey"], order, "_p")
-    step = F.struct("_p", "o_orderkey", "l_linenumber", "code")
-    owner = F.concat_ws("/", "o_custkey", F.expr("(_p - 1) div 100"))
-    packed = placed.groupBy(owner.alias("owner")).agg(F.sort_array(F.collect_list(step)).alias("_s"))
+    step = F.struct(*order, "code")
+    packed = rows.groupBy(F.col("o_custkey").cast("string").alias("owner")).agg(F.sort_array(F.collect_list(step)).alias("_s"))
     return packed.select(
         "owner", F.transform("_s", lambda s: s["code"]).alias("steps"),
         F.transform("_s", lambda s: s["o_orderkey"] * 10 + s["l_linenumber"]).alias("snapshots"),
@@ -440,12 +437,11 @@ def step_sequences(spark, sf):
 
 
 def sequence_library(spark, sf):
-    """Per brand and type: part sizes in part order, cut into entries of at most 50 steps."""
+    """Per brand and type: part sizes in part order."""
     part = v.table(spark, sf, "part")
     code = F.concat(F.lit("T"), 1000 + F.col("p_size"))
-    placed = ordered_positions(part.select("p_brand", "p_type", "p_partkey", code.alias("code")), ["p_brand", "p_type"], [F.col("p_partkey")], "_p")
-    key = F.concat_ws("/", "p_brand", "p_type", F.expr("(_p - 1) div 50"))
-    packed = placed.groupBy(key.alias("seq_id")).agg(F.sort_array(F.collect_list(F.struct("_p", "code"))).alias("_s"))
+    key = F.concat_ws("/", "p_brand", "p_type")
+    packed = part.groupBy(key.alias("seq_id")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", code.alias("code")))).alias("_s"))
     return packed.select("seq_id", F.transform("_s", lambda s: s["code"]).alias("steps"))
 
 
