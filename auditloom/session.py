@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import zipfile
 from pathlib import Path
@@ -26,23 +27,43 @@ def build_session(app: str = "auditloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_cleaned: set[str] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``, else one below the session's warehouse folder.
 
     The driver and all executors must reach it: without a named folder a local warehouse is an error unless the master is
-    local, too. What this application wrote there is removed when its virtual machine ends, also if the session was stopped
-    before.
+    local, too. What this application wrote there is removed when the session is stopped or Python ends.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
+    if sc.applicationId in _cleaned:
+        return
+    if not sc._jsc.sc().getCheckpointDir().isDefined():  # Spark itself sets a folder that is named when it starts
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        folder = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/auditloom-checkpoints"
+        if not named and folder.startswith(("file:", "/")) and not sc.master.startswith("local"):
+            raise ValueError(f"{folder} is a folder of the driver alone; set spark.checkpoint.dir to one that all executors reach")
+        sc.setCheckpointDir(folder)
+    _cleaned.add(sc.applicationId)
+    atexit.register(_remove_checkpoints, sc)
+    stop = sc.stop
+
+    def remove_and_stop() -> None:
+        _remove_checkpoints(sc)
+        stop()
+
+    sc.stop = remove_and_stop  # a session stops its context through this name
+
+
+def _remove_checkpoints(sc) -> None:
+    """Delete this application's own folder; nothing to do if the context was stopped, and so cleaned, before."""
+    if sc._jsc is None:
         return
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    folder = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/auditloom-checkpoints"
-    if not named and folder.startswith(("file:", "/")) and not sc.master.startswith("local"):
-        raise ValueError(f"{folder} is a folder of the driver alone; set spark.checkpoint.dir to one that all executors reach")
-    sc.setCheckpointDir(folder)
-    path = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(own.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()
