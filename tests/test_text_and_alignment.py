@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 from functools import lru_cache
 
 import pytest
@@ -108,3 +110,17 @@ def test_confusion_edge_cases(spark):
     df = spark.createDataFrame([(1, 0, 0), (1, 0, 0)], "g int, y_true int, y_pred int")
     row = metrics.evaluate(df, ["g"]).first()
     assert (row.tp + row.fp + row.tn + row.fn, row.precision, row.recall, row.f1, row.accuracy) == (2, 0.0, 0.0, 0.0, 1.0)
+
+
+def test_contains_join_broadcasts_no_substrings_of_names(spark):
+    n = spark.range(50_000).selectExpr("concat('/usr/share/long/directory/of/files/', id) as name")
+    k = spark.createDataFrame([("s/77",), ("/49999",)], "lab string")
+    out = ev.contains_join(n, "name", k, "lab")
+    found = {(r.name, r.lab) for r in out.collect()}
+    assert len(found) == 1 + sum(str(i).startswith("77") for i in range(50_000))
+    lines = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [re.search(r"[A-Za-z(*]", x).start() if re.search(r"[A-Za-z(*]", x) else 0 for x in lines]
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda i: depth[i] > depth[at], range(at + 1, len(lines)))
+            assert not any("Generate" in lines[i] for i in below)
