@@ -148,3 +148,19 @@ def test_results_do_not_depend_on_partitioning(spark):
         runs.append(sorted(graph.ego(e.repartition(int(parts)), centers.repartition(int(parts)), 2, 4).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert runs[0] == runs[1]
+
+
+def test_path_halves_start_at_the_end_with_fewer_walks(spark):
+    """A user next to hubs asks for a path to a small node: the hubs' neighbours are not followed from the users."""
+    links = [(f"user{i}", f"hub{h}") for i in range(40) for h in range(3)] + [(f"user{i}", "goal") for i in range(2)]
+    adj = graph.adjacency(edge_df(spark, links))
+    pairs = spark.createDataFrame([(1, f"user{i}", "goal") for i in range(40)], "snapshot_id long, a string, b string")
+    assert graph.longer_end(adj, pairs) == "b"
+    halves = graph.half_paths(adj, pairs.selectExpr("snapshot_id", "b as end"), 2)
+    assert halves.count() == 1 + 2 + 2 * 3
+    turned = pairs.selectExpr("snapshot_id", "b as a", "a as b")
+    assert graph.longer_end(adj, turned) == "a"
+    one = {tuple(r.path) for r in graph.simple_paths(edge_df(spark, links), pairs, 3).collect()}
+    two = {tuple(reversed(r.path)) for r in graph.simple_paths(edge_df(spark, links), turned, 3).collect()}
+    # a direct edge, or over a hub and one of the other users next to the goal
+    assert one == two and len(one) == 2 + 2 * 3 * 1 + 38 * 3 * 2
