@@ -1,6 +1,9 @@
 """The search keeps only entries that the other side has, and numbers instead of digests for equal vectors."""
 
 import math
+import random
+
+import pytest
 
 from auditloom.operators import similarity
 
@@ -18,3 +21,32 @@ def test_classes_keep_shared_features_and_whole_norms(spark):
     pairs = spark.createDataFrame([(1, 7), (3, 7), (4, 8), (4, 99)], "a int, b int")
     ranks = {(r.a, r.b): r["rank"] for r in similarity.ranks_of(left, right, pairs).collect()}
     assert ranks == {(1, 7): 1, (3, 7): 1, (4, 8): 2, (4, 99): 2}
+
+
+@pytest.mark.parametrize("entries,limit", [(40, 64), (1 << 22, 64), (40, 0)])
+def test_products_of_blocks_equal_plain_ranks(spark, monkeypatch, entries, limit):
+    """Small blocks, one block, and the search by posting lists: copies, queries that share nothing, scores above 1."""
+    monkeypatch.setattr(similarity, "BLOCK_ENTRIES", entries)
+    monkeypatch.setattr(similarity, "BLOCKS", limit)
+    monkeypatch.setattr(similarity, "SCORES", 50)
+    rng = random.Random(5)
+    some = lambda: {f"f{min(int(rng.paretovariate(0.6)), 60)}": float(rng.randrange(1, 4)) for _ in range(rng.randrange(1, 9))}
+    right = {i: some() for i in range(60)} | {100 + i: {"f1": 1.0, "f2": 2.0} for i in range(9)}
+    left = {i: some() for i in range(25)} | {90: {"nowhere": 2.0}}
+    frame = lambda vs: spark.createDataFrame([(i, f, w) for i, v in vs.items() for f, w in v.items()], "id int, feature string, weight double")
+    assert (similarity.block_count(similarity.packed(frame(right))) is None) == (limit == 0)
+    for unit in (True, False):
+        size = lambda v: math.sqrt(sum(w * w for w in v.values())) if unit else 1.0  # noqa: E731, B023
+        want = set()
+        for a, v in left.items():
+            scores = [(-round(sum(w * r.get(f, 0.0) for f, w in v.items()) / (size(v) * size(r)), 9), b) for b, r in right.items()]
+            want |= {(a, b, n + 1) for n, (_, b) in enumerate(sorted(scores)[:6])}
+        got = {(r.a, r.b, r["rank"]) for r in similarity.top_similar(frame(left), frame(right), 6, unit).collect()}
+        assert got == want
+
+
+def test_block_holds_one_copy_per_place_and_passes_only_the_best(spark):
+    """A library of copies goes into a block with k of them, and a query gives k rows whatever the size of the library."""
+    right = spark.range(500).selectExpr("id", "'x' AS feature", "1.0D AS weight")
+    kept = similarity.first_copies(similarity.packed(right), 3)
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 2]
