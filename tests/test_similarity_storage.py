@@ -50,3 +50,13 @@ def test_block_holds_one_copy_per_place_and_passes_only_the_best(spark):
     right = spark.range(500).selectExpr("id", "'x' AS feature", "1.0D AS weight")
     kept = similarity.first_copies(similarity.packed(right), 3)
     assert sorted(r.id for r in kept.collect()) == [0, 1, 2]
+
+
+def test_tokens_are_worked_out_once(spark):
+    """No filter on the tokens is inferred below the repartition; texts without tokens have no entries."""
+    texts = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "c")], "id int, text string").repartition("id")
+    texts = texts.selectExpr("id", "filter(split(text, ' '), t -> t <> '') AS tokens")
+    out = similarity.tfidf(texts, spark.createDataFrame([(7, ["a"])], "id int, tokens array<string>"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan.split("Repartition")[-1]
+    assert {(r.id, r.feature) for r in out.collect()} == {(1, "a"), (1, "b"), (3, "c")}
