@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from auditloom.operators import similarity
+from auditloom.operators import interpret, similarity
 
 
 def test_classes_keep_shared_features_and_whole_norms(spark):
@@ -60,3 +60,14 @@ def test_tokens_are_worked_out_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "size(" not in plan.split("Repartition")[-1]
     assert {(r.id, r.feature) for r in out.collect()} == {(1, "a"), (1, "b"), (3, "c")}
+
+
+def test_hybrid_keeps_queries_of_either_side(spark):
+    """A query may have entries in one side only, or none that a library knows; a technique may be in one library only."""
+    frame = lambda rows: spark.createDataFrame(rows, "id int, feature string, weight double")
+    main, aux = frame([(1, "x", 2.0), (2, "y", 1.0)]), frame([(2, "x", 1.0), (3, "x", 3.0), (3, "z", 4.0)])
+    queries, aux_queries = frame([(10, "x", 5.0), (12, "u", 1.0)]), frame([(10, "x", 1.0), (11, "z", 1.0)])
+    got = {(r.a, r["rank"]): (r.b, round(r.sim, 9)) for r in interpret.hybrid(queries, main, aux, aux_queries, 0.3, 2).collect()}
+    assert got == {
+        (10, 1): (1, 0.7), (10, 2): (2, 0.3), (11, 1): (3, 0.24), (11, 2): (1, 0.0), (12, 1): (1, 0.0), (12, 2): (2, 0.0),
+    }
