@@ -164,3 +164,33 @@ def test_path_halves_start_at_the_end_with_fewer_walks(spark):
     two = {tuple(reversed(r.path)) for r in graph.simple_paths(edge_df(spark, links), turned, 3).collect()}
     # a direct edge, or over a hub and one of the other users next to the goal
     assert one == two and len(one) == 2 + 2 * 3 * 1 + 38 * 3 * 2
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a query wrote, after running it."""
+    df.collect()
+    plans, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        node = plans.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                rows += node.metrics().apply("shuffleRecordsWritten").value()
+            plans += [node.children().apply(i) for i in range(node.children().size())]
+    return rows
+
+
+def test_ego_moves_one_row_per_center(spark):
+    """What a hub adds is found once, not for each of its neighbours; a neighbour does not find itself again."""
+    pairs = [(f"u{i:03d}", f"k{i % 4}") for i in range(400)]
+    centers = spark.createDataFrame([(1, f"u{i:03d}") for i in range(400)], "snapshot_id long, center string")
+    out = graph.ego(edge_df(spark, pairs), centers, 2, 64)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.center, []).append((r.hop, r.node))
+    assert {c: sorted(v) for c, v in got.items()} == {f"u{i:03d}": brute_ego(pairs, f"u{i:03d}", 2, 64) for i in range(400)}
+    assert shuffled_rows(out) < 10 * 400
