@@ -194,3 +194,16 @@ def test_ego_moves_one_row_per_center(spark):
         got.setdefault(r.center, []).append((r.hop, r.node))
     assert {c: sorted(v) for c, v in got.items()} == {f"u{i:03d}": brute_ego(pairs, f"u{i:03d}", 2, 64) for i in range(400)}
     assert shuffled_rows(out) < 10 * 400
+
+
+def test_ego_hashes_no_links(spark):
+    """Links reach the limited lists without a hashed set of all of them, also where both directions are given."""
+    pairs = [("a", "b"), ("b", "a"), ("a", "c"), ("c", "d")]
+    centers = spark.createDataFrame([(1, x) for x in "abcd"], "snapshot_id long, center string")
+    out = graph.ego(edge_df(spark, pairs), centers, 2, 3)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.center, []).append((r.hop, r.node))
+    assert {c: sorted(x) for c, x in got.items()} == {c: brute_ego(pairs, c, 2, 3) for c in "abcd"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "nbr" in line and "collect_set" not in line for line in plan.splitlines())
