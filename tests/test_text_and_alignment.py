@@ -124,3 +124,21 @@ def test_contains_join_broadcasts_no_substrings_of_names(spark):
         if "BroadcastExchange" in line:
             below = itertools.takewhile(lambda i: depth[i] > depth[at], range(at + 1, len(lines)))
             assert not any("Generate" in lines[i] for i in below)
+
+
+def test_event_sides_read_the_events_once(spark):
+    rows = [(i, "u1", "SUBJECT_PROCESS", f"k{i % 2}", "FILE_OBJECT_BLOCK", "EVENT_READ", i) for i in range(6)]
+    events = spark.createDataFrame(rows, "event_id long, actor_id string, actor_type string, object_id string, object_type string, action string, ts_us long")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    events = events.withColumn("actor_id", F.udf(seen)("actor_id"))
+    entities = spark.createDataFrame([("u1", "/usr/bin/bash -n 3,7,/usr/bin/bash"), ("k0", "/tmp/a.so")], "name string, props string")
+    wanted = spark.createDataFrame([("u1",)], "entity string")
+    sides = interpret.event_sides(events, entities, wanted)
+    found = {(r["object_id"], r["actor_prop"][:13], r["object_prop"]) for r in sides.collect()}
+    assert found == {("k0", "/usr/bin/bash", "/tmp/a.so"), ("k1", "/usr/bin/bash", "")}
+    assert read.value == len(rows)
