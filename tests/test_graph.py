@@ -207,3 +207,46 @@ def test_ego_hashes_no_links(spark):
     assert {c: sorted(x) for c, x in got.items()} == {c: brute_ego(pairs, c, 2, 3) for c in "abcd"}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Aggregate" in line and "nbr" in line and "collect_set" not in line for line in plan.splitlines())
+
+
+def test_communities_read_the_edges_once_and_agree_with_plain_propagation(spark):
+    import random
+    from collections import Counter, defaultdict
+
+    def propagate(near, rounds):
+        label = {v: v for v in near}
+        for _ in range(rounds):
+            votes = {v: Counter([label[u] for u in near[v]] + [label[v]]) for v in near}
+            label = {v: min(c, key=lambda x: (-c[x], x)) for v, c in votes.items()}
+        return label
+
+    chance = random.Random(3)
+    pairs = {tuple(sorted(chance.sample([f"n{i}" for i in range(60)], 2))) for _ in range(75)}
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    label = {v: (x,) for v, x in propagate(near, 5).items()}
+    for _ in range(2):
+        sizes = Counter(label.values())
+        big = {v for v in near if sizes[label[v]] > 6}
+        inner = {v: {u for u in near[v] if label[u] == label[v]} for v in big}
+        again = propagate({v: us for v, us in inner.items() if us}, 5)
+        label = {v: (*x, again[v]) if v in again else x for v, x in label.items()}
+    groups = defaultdict(set)
+    for v, x in label.items():
+        groups[x].add(v)
+    wanted = sorted((sorted(g) for g in groups.values() if len(g) > 1), key=lambda g: g[0])
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    e = edge_df(spark, sorted(pairs)).withColumn("src", F.udf(seen)("src"))
+    found = defaultdict(list)
+    for r in graph.communities(e, limit=6).orderBy("node").collect():
+        found[r.community_id].append(r.node)
+    assert [found[i + 1] for i in range(len(found))] == wanted
+    assert read.value <= 3 * len(pairs)
