@@ -250,3 +250,32 @@ def test_communities_read_the_edges_once_and_agree_with_plain_propagation(spark)
         found[r.community_id].append(r.node)
     assert [found[i + 1] for i in range(len(found))] == wanted
     assert read.value <= 3 * len(pairs)
+
+
+def test_process_weights_agree_with_all_short_paths_and_expand_ends_once(spark):
+    import random
+    import re
+    from collections import defaultdict
+
+    chance = random.Random(5)
+    procs, files = [f"p{i}" for i in range(9)], [f"f{i}" for i in range(6)]
+    links = {(a, b) for a, b in ((chance.choice(procs), chance.choice(procs + files)) for _ in range(34)) if a != b}
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+
+    def loop(s, t):
+        if any(a in files and t in near[a] for a in near[s]):
+            return 3
+        inner = ((a, b) for a in near[s] - {t} for b in near[a] - {s, t} if t in near[b])
+        return 4 if any(a in files or b in files for a, b in inner) else None
+
+    wanted = {(s, t): loop(s, t) for s, t in links if t in procs}
+    assert {3, 4, None} <= set(wanted.values())
+    kinds = [(1, x, "SUBJECT_PROCESS" if x in procs else "FILE_OBJECT_BLOCK") for x in procs + files]
+    nodes = spark.createDataFrame(kinds, "snapshot_id long, name string, type string")
+    weights = graph.process_weights(nodes, edge_df(spark, sorted(links)))
+    assert {(r.src, r.dst): r.loop for r in weights.collect()} == wanted
+    # the last inner node is looked for once for all pairs with the same a and t
+    assert "aggregate [snapshot_id, a, t], [snapshot_id, a, t, min(b)" in re.sub(r"#\d+L?|'", "", weights._jdf.queryExecution().optimizedPlan().toString()).lower()
