@@ -118,18 +118,58 @@ def class_logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def class_shares(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits of every token up to a constant of its own, their exponentials, and the sums of these."""
+    bias = weights[ROWS - 1]
+    out = weights[rows[0]]
+    for r in rows[1:]:
+        out += weights[r]
+    out += bias - bias.max()
+    shares = np.exp(out)
+    totals = shares.sum(axis=1, keepdims=True)
+    if not (totals.min(initial=1) > 1e-20 and totals.max(initial=1) < 1e30):  # far from the bias: by the largest logit of each token
+        out = class_logits(weights, rows)
+        shares = np.exp(out)
+        totals = shares.sum(axis=1, keepdims=True)
+    return out, shares, totals
+
+
+LAYERS = 12  # occurrences of a feature that are added for all features at once
+
+
+def feature_sums(p: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct numbers in ``rows``, for each the sum of the rows of ``p`` at the tokens that have it)."""
+    flat = rows.ravel().astype(np.int16 if ROWS < 1 << 15 else np.int64)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    order %= len(p)
+    at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    size = np.diff(np.append(at, len(flat)))
+    by_size = np.argsort(-size, kind="stable")
+    at, size = at[by_size], size[by_size]
+    g = p[order[at]]
+    for k in range(1, LAYERS):
+        n = np.searchsorted(-size, -k)  # those that occur more than k times come first
+        if not n:
+            break
+        g[:n] += p[order[at[:n] + k]]
+    for i in range(np.searchsorted(-size, -LAYERS)):
+        g[i] += p[order[at[i] + LAYERS : at[i] + size[i]]].sum(axis=0)
+    return flat[at].astype(np.int64), g
+
+
 def train_step(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One AdaGrad step on a batch of tokens."""
-    p = class_logits(weights, rows)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
+    _, p, totals = class_shares(weights, rows)
+    p /= totals
     p[np.arange(len(classes)), classes] -= 1
-    for r in rows:
-        order = np.argsort(r, kind="stable")
-        ids, at = np.unique(r[order], return_index=True)
-        g = np.add.reduceat(p[order], at, axis=0)
-        squares[ids] += g * g
-        weights[ids] -= RATE * g / np.sqrt(squares[ids])
+    ids, g = feature_sums(p, rows)
+    total = squares[ids]
+    total += g * g
+    squares[ids] = total
+    g *= RATE
+    g /= np.sqrt(total, out=total)
+    weights[ids] -= g
     g = p.sum(axis=0)
     squares[-1] += g * g
     weights[-1] -= RATE * g / np.sqrt(squares[-1])
@@ -271,10 +311,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 rows, classes, rank = contexts(packed, starts), (packed >> 32) & 0xFF, packed >> 40
                 log_class = np.empty(len(packed))
                 for at in range(0, len(packed), STEP):
-                    logits = class_logits(weights, rows[:, at : at + STEP])
+                    logits, _, totals = class_shares(weights, rows[:, at : at + STEP])
                     own = logits[np.arange(len(logits)), classes[at : at + STEP]].astype(np.float64)
-                    np.exp(logits, out=logits)
-                    log_class[at : at + STEP] = own - np.log(logits.sum(axis=1, dtype=np.float64))
+                    log_class[at : at + STEP] = own - np.log(totals[:, 0].astype(np.float64))
                 in_class = np.where(classes < SINGLE, 0.0, head_log[rank] - mass_log[classes])
                 scores = np.add.reduceat(log_class / LN10 + in_class, starts)
                 bases = np.add.reduceat(head_log[rank], starts)

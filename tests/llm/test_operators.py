@@ -499,3 +499,22 @@ def test_array_steps_of_passages():
     place, first, last, a, b = passages.near_ranges(own, other, np.array([[0], [200], [30], [0], [0], [len(other)]]))
     assert list(place) == [0] and (a[0], b[0]) == (20, 119 + passages.SIZE)
     assert first[0] < 20 and last[0] > 120 - passages.WIDTH
+
+
+def test_feature_sums_and_shares_agree_with_plain_sums():
+    from auditloom.llm import lm
+
+    chance = np.random.default_rng(4)
+    rows = np.minimum(chance.zipf(1.4, (lm.FEATURES, 700)), lm.BUCKETS - 1).astype(np.int64) + (np.arange(lm.FEATURES) * lm.BUCKETS)[:, None]
+    p = chance.normal(size=(700, 5)).astype(np.float32)
+    ids, sums = lm.feature_sums(p, rows)
+    wanted = np.zeros((lm.ROWS, 5))
+    np.add.at(wanted, rows.ravel(), np.tile(p, (lm.FEATURES, 1)).astype(np.float64))
+    assert sorted(ids) == sorted(set(rows.ravel().tolist()))
+    assert np.allclose(sums, wanted[ids], atol=1e-4)
+    weights = chance.normal(size=(lm.ROWS, lm.CLASSES)).astype(np.float32)
+    for scale in (1, 400):  # the larger weights would overflow without the largest logit of each token
+        logits, shares, totals = lm.class_shares(weights * np.float32(scale), rows)
+        plain = lm.class_logits(weights * np.float32(scale), rows).astype(np.float64)
+        wanted = np.exp(plain) / np.exp(plain).sum(axis=1, keepdims=True)
+        assert np.allclose(shares / totals, wanted, atol=1e-4)
