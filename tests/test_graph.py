@@ -279,3 +279,27 @@ def test_process_weights_agree_with_all_short_paths_and_expand_ends_once(spark):
     assert {(r.src, r.dst): r.loop for r in weights.collect()} == wanted
     # the last inner node is looked for once for all pairs with the same a and t
     assert "aggregate [snapshot_id, a, t], [snapshot_id, a, t, min(b)" in re.sub(r"#\d+L?|'", "", weights._jdf.queryExecution().optimizedPlan().toString()).lower()
+
+
+def test_two_hop_counts_are_whole(spark):
+    rng = random.Random(3)
+    pairs = [("hub", f"u{i:03d}") for i in range(150)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("x", "y")]
+    pairs += [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(60)] + [("u000", "n1"), ("u001", "n1"), ("u002", "u003")]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = sum(len({y for x in near[c] for y in near[x]} - near[c] - {c}) for c in near)
+    assert want > 64 * 150  # more than egos of 64 nodes hold
+    assert [r.n_pairs for r in graph.two_hop_counts(edge_df(spark, pairs)).collect()] == [want]
+    assert graph.two_hop_counts(edge_df(spark, [("x", "y"), ("d", "d")])).collect() == []
+
+
+def test_two_hop_query_and_its_sql_have_no_limit():
+    from auditloom.plans import load_all
+    from auditloom.plans.registry import ORACLES
+
+    load_all()
+    assert "rk <=" not in ORACLES["jn8_two_hop_counts"]
+    assert "rk <= 8" in ORACLES["gr1_ego"]
