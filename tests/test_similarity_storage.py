@@ -71,3 +71,11 @@ def test_hybrid_keeps_queries_of_either_side(spark):
     assert got == {
         (10, 1): (1, 0.7), (10, 2): (2, 0.3), (11, 1): (3, 0.24), (11, 2): (1, 0.0), (12, 1): (1, 0.0), (12, 2): (2, 0.0),
     }
+
+
+def test_blocks_go_to_no_more_parts_than_keep_the_cores_busy(spark):
+    right = spark.range(50).selectExpr("id", "concat('f', id % 7) AS feature", "1.0D + id AS weight")
+    library, cores = similarity.packed(right, False), spark.sparkContext.defaultParallelism
+    assert similarity.top_products(library, library, 3, 1).rdd.getNumPartitions() == cores
+    found = similarity.top_products(similarity.packed(right.limit(5), False), library, 3, 3 * cores)
+    assert {(r.a, r.b, r["rank"]) for r in found.collect()} >= {(0, 49, 1), (0, 42, 2), (0, 35, 3), (1, 43, 1)}
